@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfold.llm.batch_dedup import chunk_verdicts, near_duplicates, upload_links
 from cairnfold.llm.shared_spans import shared_spans, sharing_report
 from cairnfold.session import table
 
@@ -18,7 +19,35 @@ def p3_sharing(spark: SparkSession, d: str) -> DataFrame:
     return sharing_report(table(spark, d, "manifest_entries")).withColumnRenamed("record", "manifest_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_sharing": p3_sharing}
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    """Committed objects as batch 0 and the uploads of all batches."""
+    entries, objects = table(spark, d, "manifest_entries"), table(spark, d, "objects")
+    own = entries.where("fp is not null").select("manifest_id", F.lower("fp").alias("element")).distinct()
+    named = objects.where("manifest_id is not null").select("manifest_id", F.col("namespace").alias("scope"), F.col("obj_seq").alias("obj")).distinct()
+    history = own.join(named, "manifest_id").select("scope", "obj", F.lit(0).alias("batch"), "element")
+    uploads = table(spark, d, "chunks").select(
+        F.col("namespace").alias("scope"), F.col("obj_seq").alias("obj"), F.col("batch_no").alias("batch"), F.lower("fp").alias("element")
+    )
+    return history.unionByName(uploads)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = near_duplicates(_elements(spark, d)).select(F.least("obj_a", "obj_b").alias("obj_a"), F.greatest("obj_a", "obj_b").alias("obj_b"))
+    return pairs.distinct()
+
+
+def p4_uploads(spark: SparkSession, d: str) -> DataFrame:
+    return upload_links(_elements(spark, d)).select(F.col("obj").alias("obj_seq"), F.col("batch").alias("batch_no"), "class_id", "copies", "links")
+
+
+def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_verdicts(table(spark, d, "chunks"), table(spark, d, "manifest_entries"), table(spark, d, "fp_index"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_sharing": p3_sharing,
+    "p4_found": p4_found, "p4_uploads": p4_uploads, "p4_chunks": p4_chunks,
+}
 
 _P3 = """
 WITH e AS (SELECT DISTINCT manifest_id, ordinal, lower(fp) AS fp, len FROM manifest_entries),
@@ -40,7 +69,31 @@ f AS (SELECT DISTINCT k.manifest_id, k.ordinal FROM c JOIN g USING (content)
       JOIN k ON k.manifest_id = c.manifest_id AND k.ordinal BETWEEN s AND t)
 """
 
+_P4 = """
+WITH s AS (SELECT DISTINCT o.namespace AS ns, obj_seq AS obj, 0 AS b, lower(fp) AS fp
+           FROM manifest_entries m JOIN objects o USING (manifest_id) WHERE fp IS NOT NULL
+           UNION SELECT namespace, obj_seq, batch_no, lower(fp) FROM chunks WHERE fp IS NOT NULL),
+n AS (SELECT ns, obj, b, count(*) AS n, md5(string_agg(fp, ',' ORDER BY fp)) AS content FROM s GROUP BY ALL),
+i AS (SELECT x.obj AS a, y.obj AS c, count(*) AS i FROM s x JOIN s y ON x.ns = y.ns AND x.fp = y.fp
+      WHERE y.b > 0 AND x.b < y.b GROUP BY ALL),
+pairs AS (SELECT i.a, i.c, na.content = nc.content AS same FROM i JOIN n na ON na.obj = i.a JOIN n nc ON nc.obj = i.c
+          WHERE i.i >= 0.7 * (na.n + nc.n - i.i) - 1e-9)
+"""
+
 SQL = {
+    "p4_found": _P4 + "SELECT a AS obj_a, c AS obj_b FROM pairs",
+    "p4_uploads": _P4 + """, ids AS (SELECT ns, content, min(obj) AS class_id FROM n GROUP BY ALL),
+l AS (SELECT c, count(*) AS links, count(*) FILTER (same) AS copies FROM pairs GROUP BY ALL)
+SELECT n.obj AS obj_seq, n.b AS batch_no, class_id, coalesce(copies, 0) AS copies, coalesce(links, 0) AS links
+FROM n JOIN ids ON ids.ns = n.ns AND ids.content = n.content LEFT JOIN l ON l.c = n.obj WHERE n.b > 0""",
+    "p4_chunks": """
+WITH c AS (SELECT DISTINCT chunk_id, namespace, lower(fp) AS fp FROM chunks),
+f AS (SELECT namespace, fp, min(chunk_id) AS first FROM c WHERE fp IS NOT NULL GROUP BY ALL),
+h AS (SELECT DISTINCT namespace, lower(fp) AS fp FROM manifest_entries WHERE fp IS NOT NULL),
+x AS (SELECT namespace, lower(fp) AS fp, min(dcid) AS dcid FROM fp_index GROUP BY ALL)
+SELECT DISTINCT chunk_id, coalesce(h.fp IS NOT NULL OR f.first < chunk_id, false) AS deduped, x.dcid
+FROM c LEFT JOIN f ON f.namespace = c.namespace AND f.fp = c.fp LEFT JOIN h ON h.namespace = c.namespace AND h.fp = c.fp
+LEFT JOIN x ON x.namespace = c.namespace AND x.fp = c.fp""",
     "p3_found": _P3 + "SELECT manifest_id, ordinal FROM f",
     "p3_sharing": _P3 + """SELECT e.manifest_id, CAST(sum(len) AS BIGINT) AS bytes,
   CAST(coalesce(sum(len) FILTER (f.ordinal IS NOT NULL), 0) AS BIGINT) AS shared_bytes,
