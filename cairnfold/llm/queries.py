@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfold.llm.batch_dedup import chunk_verdicts, near_duplicates, upload_links
+from cairnfold.llm.seen_keys import audit, seen_before
 from cairnfold.llm.shared_spans import shared_spans, sharing_report
 from cairnfold.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return seen_before(table(spark, d, "manifest_entries"), table(spark, d, "chunks"))
+
+
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audit(table(spark, d, "manifest_entries"), table(spark, d, "chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = shared_spans(table(spark, d, "manifest_entries"))
     return found.select(F.col("record").alias("manifest_id"), F.col("ordinal").cast("int").alias("ordinal"))
@@ -45,6 +54,7 @@ def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_audit": p2_audit,
     "p3_found": p3_found, "p3_sharing": p3_sharing,
     "p4_found": p4_found, "p4_uploads": p4_uploads, "p4_chunks": p4_chunks,
 }
@@ -81,6 +91,12 @@ pairs AS (SELECT i.a, i.c, na.content = nc.content AS same FROM i JOIN n na ON n
 """
 
 SQL = {
+    "p2_found": """
+WITH c AS (SELECT DISTINCT chunk_id, namespace, lower(fp) AS fp FROM chunks WHERE fp IS NOT NULL),
+f AS (SELECT namespace, fp, min(chunk_id) AS first FROM c GROUP BY ALL),
+h AS (SELECT DISTINCT namespace, lower(fp) AS fp FROM manifest_entries WHERE fp IS NOT NULL)
+SELECT DISTINCT chunk_id FROM c JOIN f USING (namespace, fp) LEFT JOIN (SELECT namespace, fp, 1 AS old FROM h) USING (namespace, fp)
+WHERE old = 1 OR first < chunk_id""",
     "p4_found": _P4 + "SELECT a AS obj_a, c AS obj_b FROM pairs",
     "p4_uploads": _P4 + """, ids AS (SELECT ns, content, min(obj) AS class_id FROM n GROUP BY ALL),
 l AS (SELECT c, count(*) AS links, count(*) FILTER (same) AS copies FROM pairs GROUP BY ALL)
