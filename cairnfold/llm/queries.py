@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfold.llm.batch_dedup import chunk_verdicts, near_duplicates, upload_links
+from cairnfold.llm.container_packing import fill_report, pack
 from cairnfold.llm.seen_keys import audit, seen_before
 from cairnfold.llm.shared_spans import shared_spans, sharing_report
-from cairnfold.session import table
+from cairnfold.llm.source_mixing import mix, share_report
+from cairnfold.llm.token_sizes import token_sizes
+from cairnfold.session import cut, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,10 +56,36 @@ def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk_verdicts(table(spark, d, "chunks"), table(spark, d, "manifest_entries"), table(spark, d, "fp_index"))
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(token_sizes(table(spark, d, "documents"), "text", ["doc_id"]))
+    return pack(sizes, table(spark, d, "pack_limits"))[0].withColumnRenamed("size", "n_tokens")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    limits = table(spark, d, "pack_limits")
+    sizes = cut(token_sizes(table(spark, d, "documents"), "text", ["doc_id"]))
+    placed, plans = pack(sizes, limits)
+    return fill_report(placed, limits, plans)
+
+
+def _mix(spark: SparkSession, d: str):
+    sizes = token_sizes(table(spark, d, "documents"), "text", ["doc_id", "source"])
+    return mix(sizes, table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(*_mix(spark, d))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_audit": p2_audit,
     "p3_found": p3_found, "p3_sharing": p3_sharing,
     "p4_found": p4_found, "p4_uploads": p4_uploads, "p4_chunks": p4_chunks,
+    "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 
 _P3 = """
