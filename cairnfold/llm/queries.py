@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnfold.llm.batch_dedup import chunk_verdicts, near_duplicates, upload_links
 from cairnfold.llm.container_packing import fill_report, pack
+from cairnfold.llm.encoding_repair import damaged_documents, restored_documents
 from cairnfold.llm.seen_keys import audit, seen_before
 from cairnfold.llm.shared_spans import shared_spans, sharing_report
 from cairnfold.llm.source_mixing import mix, share_report
@@ -81,11 +82,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(*_mix(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return damaged_documents(table(spark, d, "documents"))[0].select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return restored_documents(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_audit": p2_audit,
     "p3_found": p3_found, "p3_sharing": p3_sharing,
     "p4_found": p4_found, "p4_uploads": p4_uploads, "p4_chunks": p4_chunks,
     "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
 _P3 = """
