@@ -24,6 +24,10 @@ from cairnfold.session import cut
 
 #: Rounds of prices, and configurations taken from each round's table.
 ROUNDS, STARTS = 16, 128
+#: Room below which a container of the remainder is filled by a knapsack.
+FINISH = 1024
+#: ``pack_limits`` may hold so many; they pass through the driver.
+MOST_LIMITS = 1000
 #: Items that one group ranks at most, about.
 GROUP = 1 << 20
 
@@ -135,18 +139,28 @@ def _complete(out: Plan, rest: dict[int, int]) -> None:
         n = np.array([rest[s] for s in sizes.tolist()])
         big, gap = int(sizes[0]), out.capacity - int(sizes[0])
         config = {big: 1}
-        rest[big] -= 1
-        fits = sizes <= gap
+        n[0] -= 1
+        # far from full, the largest that fits; the end is filled as exactly as can be
+        while gap > FINISH:
+            i = int(np.searchsorted(-sizes, -gap, "left"))
+            while i < len(sizes) and not n[i]:
+                i += 1
+            if i == len(sizes):
+                break
+            k = max(1, min(int(n[i]), (gap - FINISH) // int(sizes[i])))
+            config[int(sizes[i])] = config.get(int(sizes[i]), 0) + k
+            n[i] -= k
+            gap -= k * int(sizes[i])
+        fits = (sizes <= gap) & (n > 0)
         if fits.any():
             # a few of the sizes suffice to fill a gap, and keep the table small
             cand = np.flatnonzero(fits)
             if len(cand) > 96:
                 cand = np.unique(np.r_[cand[:48], cand[np.linspace(0, len(cand) - 1, 48).astype(int)]])
-            most = np.minimum(n[cand] - (sizes[cand] == big), gap // sizes[cand])
-            sack = _Knapsack(sizes[cand], np.maximum(most, 0), sizes[cand].astype(np.float64), gap)
+            most = np.minimum(n[cand], gap // sizes[cand])
+            sack = _Knapsack(sizes[cand], most, sizes[cand].astype(np.float64), gap)
             for s, k in sack.content(gap).items():
                 config[s] = config.get(s, 0) + k
-        rest[big] += 1
         times = min(rest[s] // k for s, k in config.items())
         out.configurations.append((times, config))
         for s, k in config.items():
@@ -171,15 +185,30 @@ def _tables(plans: dict[int, Plan]) -> dict[int, dict[int, np.ndarray]]:
     return out
 
 
+def _limits(limits: DataFrame) -> list[tuple[int, int]]:
+    """(limit_id, capacity) of the limits with a positive capacity, of which there may be ``MOST_LIMITS``."""
+    own = limits.where("capacity_tokens > 0 and limit_id is not null").select("limit_id", "capacity_tokens").distinct()
+    rows = own.orderBy("limit_id").limit(MOST_LIMITS + 1).collect()
+    if len(rows) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits")
+    return [(r[0], r[1]) for r in rows]
+
+
 def pieces(sizes: DataFrame, limits: DataFrame, item: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """``limit_id, capacity, <item>, piece, size``: an item as one piece, or as many full ones as its size demands
     and what is left. Limits without a positive capacity have none."""
-    own = limits.where("capacity_tokens > 0 and limit_id is not null").select("limit_id", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
-    each = sizes.select(item, F.col(size).cast("bigint").alias("_n")).join(F.broadcast(own.limit(1000)), F.lit(True))
-    each = each.where("_n > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(_n - 1) div capacity"))))
+    each = _for_each(sizes.where(F.col(size) > 0), limits).select("l.limit_id", "l.capacity", item, F.col(size).cast("bigint").alias("_n"))
+    each = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(_n - 1) div capacity"))))
     return each.select("limit_id", "capacity", item, "piece", F.least("capacity", F.col("_n") - F.col("piece") * F.col("capacity")).alias("size"))
 
 
+def _for_each(sizes: DataFrame, limits: DataFrame) -> DataFrame:
+    kind = limits.schema["limit_id"].dataType
+    own = [F.struct(F.lit(i).cast(kind).alias("limit_id"), F.lit(c).cast("bigint").alias("capacity")) for i, c in _limits(limits)]
+    none = F.array().cast(f"array<struct<limit_id:{kind.simpleString()},capacity:bigint>>")
+    return sizes.withColumn("l", F.explode(F.array(*own) if own else none))
+
+
 def solve(items: DataFrame) -> dict[int, Plan]:
     """Plans for each limit from the histogram of ``limit_id, capacity, size``, of at most the sum of the
     capacities rows."""
@@ -224,9 +253,9 @@ def pack(sizes: DataFrame, limits: DataFrame, item: str = "doc_id", size: str =
             yield pd.Series(out)
 
     placed = ranked.select("limit_id", item, "piece", "size", container("limit_id", "size", "_rank").alias("container_id"))
-    none = sizes.where(F.coalesce(F.col(size), F.lit(0)) <= 0).join(F.broadcast(limits.where("capacity_tokens > 0 and limit_id is not null").select("limit_id").distinct().limit(1000)), F.lit(True))
+    none = _for_each(sizes.where(F.coalesce(F.col(size), F.lit(0)) <= 0), limits)
     zero = F.lit(0).cast("bigint")
-    none = none.select("limit_id", item, zero.alias("piece"), zero.alias("size"), F.lit(None).cast("bigint").alias("container_id"))
+    none = none.select("l.limit_id", item, zero.alias("piece"), zero.alias("size"), F.lit(None).cast("bigint").alias("container_id"))
     return placed.unionByName(none), plans
 
 
