@@ -109,14 +109,19 @@ def method_name(full: Column | str) -> Column:
     return F.when(t == "", s).otherwise(last)
 
 
+def _turned(digits: Column) -> Column:
+    """Sixteen hex digits with their bytes in the other order; ``reverse`` would take bytes for UTF-8."""
+    return F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)])
+
+
 def u64_to_bytes(n: Column | str) -> Column:
     """Eight bytes, least first."""
-    return F.reverse(F.unhex(F.lpad(F.hex(_col(n).cast("bigint")), 16, "0")))
+    return F.unhex(_turned(F.lpad(F.hex(_col(n).cast("bigint")), 16, "0")))
 
 
 def bytes_to_u64(data: Column | str) -> Column:
-    """The number of eight bytes, least first; signed above 2**63."""
-    return F.conv(F.hex(F.reverse(_col(data))), 16, -10).cast("bigint")
+    """The number of eight bytes, least first; signed above 2**63. Null unless there are eight."""
+    return F.when(F.length(_col(data)) == 8, F.conv(_turned(F.hex(_col(data))), 16, -10).cast("bigint"))
 
 
 def inside(path: Column | str, root: str) -> Column:
