@@ -97,7 +97,8 @@ def plan(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, starts: in
             break
         most = np.minimum(np.ceil(np.maximum(left, 0)), capacity // sizes).astype(np.int64)
         sack = _Knapsack(sizes, most, price, capacity)
-        if most.all():
+        if (most >= np.minimum(demand, capacity // sizes)).all():
+            # prices at which no configuration is worth more than one container bound any packing
             out.bound = max(out.bound, int(np.ceil((price * demand).sum() / max(sack.best[capacity], 1e-12) - 1e-6)))
         open_ = np.flatnonzero(left >= 1)
         first = open_[np.argsort(-(left * price)[open_], kind="stable")[:starts]]
@@ -222,10 +223,11 @@ def solve(items: DataFrame) -> dict[int, Plan]:
 def pack(sizes: DataFrame, limits: DataFrame, item: str = "doc_id", size: str = "n_tokens", group: int = GROUP) -> tuple[DataFrame, dict[int, Plan]]:
     """Which piece lies in which container: ``limit_id, <item>, piece, size, container_id`` (from 1), and the plans.
 
-    ``sizes`` has one row for an item; items of size 0 or null lie in no container (null) as they need none.
+    Repeated rows of an item are one; items of size 0 or null lie in no container (null) as they need none.
     Only an item larger than the capacity is split. No container holds more than its capacity. Ranks are
     taken in the order of items within groups of a hash, so that any executor finds them again.
     """
+    sizes = sizes.select(item, size).distinct()
     items = cut(pieces(sizes, limits, item, size))
     plans = solve(items)
     tables = _tables(plans)

@@ -58,18 +58,23 @@ _STRETCH = re.compile(r"[^\x00-\x7f]++(?:[A-Za-z]*+[^\x00-\x7f]++)*+[A-Za-z]*+")
 
 #: Bytes of East Asian encodings read one by one: the second of two may be ASCII.
 _EASTERN = re.compile(r"(?:[\x80-\xffŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™][@-~]?){3,}")
+#: Printable ASCII in UTF-16 with the bytes of each unit swapped.
+_SWAPPED = re.compile("[%s]{3,}" % "".join(chr(b << 8) for b in range(0x20, 0x7F)))
 _ODD = re.compile(r"[\x80-\xbfŒŠŸŽƒˆ˜–‚„†‡•‰‹›€™]")
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
     """Runs of letters and characters beyond ASCII with at least one of the latter; and, once more, runs with
-    signs in between that may be bytes of two-byte characters."""
+    signs in between that may be bytes of two-byte characters, and runs of swapped UTF-16."""
     for m in _EASTERN.finditer(text):
         own = m.group()
         if not own.isalpha() and len(_ODD.findall(own)) >= 2:
             a, b = m.span()
             for i in range(a, b, PIECE):
                 yield i, min(b, i + PIECE)
+    for m in _SWAPPED.finditer(text):
+        for i in range(m.start(), m.end(), PIECE):
+            yield i, min(m.end(), i + PIECE)
     last = 0
     for m in _STRETCH.finditer(text):
         a, b = m.span()
@@ -171,6 +176,12 @@ class Model:
             return 1e-9
         return 1e-7
 
+    def knows(self, text: str) -> bool:
+        """Whether most characters beyond ASCII stand in words of the corpus: few unknown characters may be less
+        improbable than many known ones, and still say nothing."""
+        own = [c in self.single or c in self.words for c in text if not c.isascii()]
+        return 5 * sum(own) >= 3 * len(own)
+
     def pair(self, a: str, b: str) -> float:
         n = self.starts.get(a, 0)
         own = 0.1 if b == "$" else self.letter(b)
@@ -229,8 +240,8 @@ def viterbi(lattice: list[int | None], right: str, model: Model, beam: int = 24)
                 data = held + bytes([x])
                 try:
                     c = data.decode(right)
-                except UnicodeError:
-                    if len(data) >= 4 or (right not in ("utf-8", *_WIDE)) or (right in _WIDE and len(data) >= 3):
+                except UnicodeDecodeError as e:
+                    if e.reason not in ("unexpected end of data", "incomplete multibyte sequence"):
                         continue
                     key, entry = (text[-1:], data), (cost, text, data, drop)
                 else:
@@ -266,10 +277,8 @@ def _fill(text: str, model: Model, beam: int = 24) -> str:
 
 
 def _swapped(text: str) -> str | None:
-    if len(text) < 3 or any(ord(c) & 0xFF and not 0x2000 <= ord(c) < 0x3200 for c in text):
-        return None
-    out = "".join(chr((ord(c) & 0xFF) << 8 | ord(c) >> 8) if ord(c) < 0x10000 else _LOST for c in text)
-    return out if out.isascii() and out.isprintable() else None
+    """ASCII text whose 16-bit units were read with their bytes the other way round."""
+    return "".join(chr(ord(c) >> 8) for c in text) if _SWAPPED.fullmatch(text) else None
 
 
 def _decoded(text: str, wrong: str, right: str, model: Model | None) -> tuple[str, float] | None:
@@ -325,6 +334,8 @@ def judge(text: str, model: Model) -> list[tuple[str, str, str, float]]:
     own = model.score(text)
     out = []
     for wrong, right, restored, cost in readings(text, model):
+        if right[:5] != "utf-8" and right[:6] != "utf-16" and not model.knows(restored):
+            continue
         if right == "utf-16-be":
             gain = 6.0 * len(text)
         else:

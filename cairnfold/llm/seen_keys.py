@@ -179,8 +179,8 @@ def _ask(bits: int, names: list[str]):
         theory = np.full(len(h), history.rate)
         levels: list[CodedSet] = []
         order = np.argsort(batch, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(batch[order]) != 0]) if len(order) else []
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        cuts = [0, *(np.flatnonzero(np.diff(batch[order])) + 1).tolist(), len(order)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
             mine = order[a:b]
             for level in levels:
                 yes[mine] |= level.has(own[mine])

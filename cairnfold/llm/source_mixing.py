@@ -79,11 +79,12 @@ def mix(
 ) -> tuple[DataFrame, list[Share]]:
     """The chosen documents, ``<item>, source, n_tokens, repeats``, and the shares.
 
-    ``sizes``: ``<item>, source, n_tokens``, one row for a document. Documents without tokens, or with a null
-    source or one without a target, are not chosen. A null ``max_repeats`` is 1, one below 1 leaves its
+    ``sizes``: ``<item>, source, n_tokens``; repeated rows of a document are one. Documents without tokens, or
+    with a null source or one without a target, are not chosen. A null ``max_repeats`` is 1, one below 1 leaves its
     source out. Without usable sources the result is empty.
     """
-    own = cut(sizes.withColumn("source", normal(F.col("source"))).where("n_tokens > 0 and source is not null"))
+    own = sizes.select(item, normal(F.col("source")).alias("source"), "n_tokens").where("n_tokens > 0 and source is not null")
+    own = cut(own.distinct())
     plan = shares(own, targets, total)
     use = {s.source: s for s in plan if s.expected > 0}
     groups = max(1, -(-max((s.documents for s in use.values()), default=0) // group))
