@@ -2,7 +2,9 @@
 
 import glob
 import os
+from numbers import Number
 
+import numpy as np
 import pandas as pd
 
 
@@ -20,5 +22,5 @@ def rows(df):
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(None if pd.isna(v) else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
+        out.append(tuple(None if pd.isna(v) else round(float(v), 9) if isinstance(v, Number) and not isinstance(v, (bool, np.bool_)) else str(v) for v in r))
     return sorted(out, key=str)
