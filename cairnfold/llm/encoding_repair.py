@@ -36,7 +36,7 @@ RARER = 5
 #: Log-odds of a channel for a stretch: UTF-8 has a form that other text hardly takes; other pairs have none.
 UTF8_PRIOR, OTHER_PRIOR = -2.5, -4.5
 #: Log-odds that a document is damaged.
-DOCUMENT_PRIOR = -4.0
+DOCUMENT_PRIOR = -2.0
 #: Nats for a byte that fits no character, and for a sign amid a word.
 DROPPED, AMID = 12.0, 8.0
 #: Gain of a stretch with control characters that no channel explains.
@@ -176,6 +176,11 @@ class Model:
             return 1e-9
         return 1e-7
 
+    def restored(self, text: str) -> float:
+        """The same for what a channel gives: there a stretch may also be known as a whole, with its signs."""
+        whole = self.words.get(text, 0)
+        return max(self.score(text), math.log(0.7 * whole / self.total) if whole else -math.inf)
+
     def knows(self, text: str) -> bool:
         """Whether most characters beyond ASCII stand in words of the corpus: few unknown characters may be less
         improbable than many known ones, and still say nothing."""
@@ -339,7 +344,7 @@ def judge(text: str, model: Model) -> list[tuple[str, str, str, float]]:
         if right == "utf-16-be":
             gain = 6.0 * len(text)
         else:
-            gain = model.score(restored) - own - cost + (UTF8_PRIOR if "utf-8" in (wrong, right[:5]) else OTHER_PRIOR)
+            gain = model.restored(restored) - own - cost + (UTF8_PRIOR if "utf-8" in (wrong, right[:5]) else OTHER_PRIOR)
         if gain > 0:
             out.append((wrong, right, restored, gain))
     if not out and any("\x80" <= c <= "\x9f" and c != "\x85" for c in text):
@@ -353,6 +358,8 @@ def explained(word: str, words: dict[str, int]) -> bool:
     for _, right, restored, _ in readings(word):
         if right == "utf-16-be":
             return True
+        if "\ufeff" in restored or (len(word) > 1 and words.get(restored, 0) >= RARER * max(n, 1)):
+            return True  # a byte order mark, or a known stretch
         known = [words.get(p, 0) for p in _parts(restored) if not p.isascii()]
         if right[:5] != "utf-8" and (len(word) == 1 or not all(c.isascii() or c.isalpha() or c in _JOINS for c in restored)):
             continue  # one character, or a sign next to letters, says too little
