@@ -71,7 +71,7 @@ def media_type(key: Column | str) -> Column:
 def without_password(uri: Column | str) -> Column:
     """The URI with the password before its last @ as stars."""
     u = _col(uri)
-    return F.regexp_replace(u, r"^((?:(?!://).)*?://)?([^:]*):(?:.*)(@[^@]*)$", "$1$2:****$3")
+    return F.regexp_replace(u, r"^((?:(?:(?!://).)*://)?+)([^:]*):(?:.*)(@[^@]*)$", "$1$2:****$3")
 
 
 def split_words(text: Column | str, separator: str = ",") -> Column:
