@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,11 @@ def byte_gear(seed: int = 0) -> np.ndarray:
     return np.array(own, np.uint64) ^ np.uint64(seed & 0xFFFFFFFF)
 
 
+_gear = lru_cache(maxsize=16)(byte_gear)
+#: Bytes hashed at once.
+_BLOCK = 1 << 17
+
+
 @dataclass(frozen=True)
 class ContentChunker:
     """Content-defined chunking with a gear hash and two masks (normalised).
@@ -54,24 +60,35 @@ class ContentChunker:
         b = int(np.floor(np.log2(self.average) + 0.5))
         return b + self.norm, max(0, b - self.norm)
 
+    def _table(self) -> np.ndarray:
+        """The gear's low 32 bits: more are never tested."""
+        gear = _gear(self.seed) if self.gear is None else self.gear
+        return (gear.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
     def lengths(self, data: bytes) -> list[int]:
         """Chunk lengths. The hash of k low bits depends on the last k bytes only, so all places where a
-        chunk may end come from k shifted sums over the whole buffer; from one chunk to the next it takes a
-        search, and a sum for the first k bytes, whose hash began at 0."""
+        chunk may end come from sums over windows of 32 bytes, doubled in five steps over the whole buffer; from
+        one chunk to the next it takes a search, and a sum for the first k bytes, whose hash began at 0."""
         n = len(data)
         if not n:
             return []
         hard, easy = self.bits
-        gear = byte_gear(self.seed) if self.gear is None else self.gear.astype(np.uint64)
-        g = gear[np.frombuffer(data, np.uint8)]
+        gear = self._table()
+        raw = np.frombuffer(data, np.uint8)
         ends_hard = ends_easy = np.zeros(0, np.int64)
         if n > self.minimum:
-            h = np.zeros(n, np.uint64)
-            for j in range(hard):
-                if j < n:
-                    h[j:] += g[: n - j] << np.uint64(j)
-            ends_hard = np.flatnonzero((h & np.uint64((1 << hard) - 1)) == 0)
-            ends_easy = np.flatnonzero((h & np.uint64((1 << easy) - 1)) == 0)
+            found_hard, found_easy = [], []
+            for a in range(0, n, _BLOCK):  # blocks that stay in the cache, each with the 31 bytes before it
+                b = max(0, a - 31)
+                h = gear[raw[b : a + _BLOCK]]
+                for j in (1, 2, 4, 8, 16):
+                    if j < len(h):
+                        h[j:] += h[:-j] << np.uint32(j)
+                own = h[a - b :]
+                easy_at = np.flatnonzero((own & np.uint32((1 << easy) - 1)) == 0)
+                found_easy.append(easy_at + a)
+                found_hard.append(easy_at[(own[easy_at] & np.uint32((1 << hard) - 1)) == 0] + a)
+            ends_hard, ends_easy = np.concatenate(found_hard), np.concatenate(found_easy)
         mask_hard, mask_easy = (1 << hard) - 1, (1 << easy) - 1
         out, at = [], 0
         while at < n:
@@ -82,8 +99,8 @@ class ContentChunker:
             first, turn, stop = at + self.minimum, at + min(left, self.average), at + min(left, self.maximum)
             cut, fp = 0, 0
             warm = min(first + hard - 1, stop)
-            for i in range(first, warm):
-                fp = (fp << 1) + int(g[i])
+            for i, step in enumerate(gear[raw[first:warm]].tolist(), first):
+                fp = (fp << 1) + step
                 if fp & (mask_hard if i < turn else mask_easy) == 0:
                     cut = i + 1
                     break

@@ -28,8 +28,10 @@ def classify(chunks: DataFrame, index: DataFrame | None = None, scope: str = "na
     """Adds ``status`` to chunks, ``indexed`` (in the index), ``repeated`` (earlier in the same object),
     ``shared`` (in an earlier object) or ``new``, and ``dcid``, the index's container.
 
-    Equals committing the objects one by one in the order of ``obj``. A null fingerprint is ``new``.
+    Equals committing the objects one by one in the order of ``obj``. A null fingerprint is ``new``. The chunks'
+    rows, which should not carry their bytes, are written once, so that objects are read and hashed once.
     """
+    chunks = cut(chunks.drop("dcid"))
     known = first_uses(chunks, scope, obj).withColumn("_key", key_hash(scope, "fp"))
     if index is None:
         known = known.withColumn("dcid", F.lit(None).cast("bigint"))
@@ -39,7 +41,7 @@ def classify(chunks: DataFrame, index: DataFrame | None = None, scope: str = "na
     known = cut(known)
     total = known.agg(F.sum("uses")).first()[0] or 0
     heavy = heavy_keys(known, "_key", "uses", total, heavy_share)
-    own = chunks.drop("dcid").withColumn("_key", key_hash(scope, "fp"))
+    own = chunks.withColumn("_key", key_hash(scope, "fp"))
     met = split_join(own, known, [scope, "fp"], "_key", heavy, "left")
     first = (F.col("first_obj") == F.col(obj)) & (F.col("first_ordinal") == F.col("ordinal"))
     status = (
@@ -54,6 +56,8 @@ def classify(chunks: DataFrame, index: DataFrame | None = None, scope: str = "na
 def dedup_report(chunks: DataFrame, by: Sequence[str], scope: Sequence[str] = ("namespace",)) -> DataFrame:
     """``by, chunks, unique_chunks, total_bytes, unique_bytes, dedup_rate``: unique within ``scope``, and each unique
     chunk counted where it stands first. ``by`` columns must be functions of the object."""
+    # the objects are read and hashed once for both sums
+    chunks = cut(chunks.select(*dict.fromkeys([*by, *scope, "fp", "len", "obj_seq", "ordinal"])))
     at = F.min(F.struct("obj_seq", "ordinal", *[F.col(b).alias(f"_{b}") for b in by]))
     once = chunks.groupBy(*scope, "fp").agg(at.alias("_at"), F.max("len").alias("_len"))
     unique = once.select(*[F.col(f"_at._{b}").alias(b) for b in by], "_len").groupBy(*by).agg(F.count(F.lit(1)).alias("unique_chunks"), F.sum("_len").alias("unique_bytes"))

@@ -43,6 +43,16 @@ def test_content_chunks_equal_the_slow_way(data, sizes, norm):
     assert all(c.minimum < n <= c.maximum for n in got[:-1])
 
 
+def test_blocks_of_the_buffer_do_not_matter(monkeypatch):
+    r = random.Random(9)
+    data = bytes(r.randrange(256) for _ in range(30_000))
+    c = ContentChunker(256, 64, 1024)
+    want = slow_lengths(c, data)
+    for block in (32, 100, 4096):
+        monkeypatch.setattr(chunking, "_BLOCK", block)
+        assert c.lengths(data) == want
+
+
 @pytest.mark.parametrize("data", [bytes(b for b in range(100) for _ in range(100)) + b"a" * 1024, b"\x01" * 5000 + b"\xff" * 5000 + bytes(i % 256 for i in range(10_000)), b"A" * 2**17])
 def test_chunks_of_regular_data(data):
     c = ContentChunker(4096, 1024, 8192)
