@@ -18,7 +18,10 @@ QUERIES, SQL = {}, {}
 def stream_dedup_report(spark: SparkSession, d: str) -> DataFrame:
     """Unique chunks and bytes for each namespace, found chunk by chunk as documents stream in."""
     path = f"{d}/documents.parquet"
-    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    docs = source.parquet(path) if folder else source.option("pathGlobFilter", "documents.parquet").parquet(d)
     objects = docs.select(
         F.concat(F.lit("ns-"), F.coalesce("lang", F.lit("und"))).alias("namespace"), F.col("doc_id").alias("obj_seq"),
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"),
