@@ -221,6 +221,20 @@ class Engine:
     def head(self, bucket: str, name: str) -> DataFrame:
         return listing.head(self.table("objects"), bucket, name)
 
+    def tags(self, bucket: str, name: str) -> dict[str, str]:
+        """The object's tags, which its user metadata holds under ``tag:``."""
+        return {k[4:]: v for k, v in (self._one(bucket, name)["user_defined"] or {}).items() if k.startswith("tag:")}
+
+    def set_tags(self, bucket: str, name: str, tags: dict[str, str]) -> None:
+        """Replaces all tags; none at all deletes them."""
+        self._one(bucket, name)
+        new = F.create_map(*[F.lit(x) for k, v in tags.items() for x in ("tag:" + k, v)]) if tags else F.lit(None).cast("map<string,string>")
+        none = F.create_map().cast("map<string,string>")
+        own = F.map_filter(F.coalesce("user_defined", none), lambda k, _: ~k.startswith("tag:"))
+        here = (F.col("bucket") == bucket) & (F.col("name") == name)
+        rows = self.table("objects").withColumn("user_defined", F.when(here, F.map_concat(own, F.coalesce(new, none))).otherwise(F.col("user_defined")))
+        self.store.commit(replace={"objects": cut(rows)})
+
     def _one(self, bucket: str, name: str):
         row = self.head(bucket, name).first()
         if row is None:

@@ -16,6 +16,12 @@ def dequeue(queue: DataFrame, done: DataFrame) -> DataFrame:
     return queue.select(*KEY).distinct().join(done.select(*KEY).distinct(), KEY, "left_anti")
 
 
+def sample(queue: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """At most ``k`` queued containers, picked at random but the same for a seed; they stay in the queue."""
+    own = queue.where("namespace is not null and dcid is not null").select(*KEY).distinct()
+    return own.orderBy(F.xxhash64(*KEY, F.lit(seed)), *KEY).limit(k)
+
+
 def victims(queue: DataFrame, refs: DataFrame) -> DataFrame:
     """Queued containers that nothing refers to any more, checked anew at the sweep."""
     own = queue.where("namespace is not null and dcid is not null").select(*KEY).distinct()

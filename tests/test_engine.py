@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cairnfold import cli
 from cairnfold.api import Engine, Settings, StoreError
 from cairnfold.operators.chunking import METHOD_KEY, ContentChunker
-from cairnfold.sources import container_file
+from cairnfold.sources import container_file, files
 from cairnfold.streaming import ingest
 
 R = random.Random(0)
@@ -153,3 +154,62 @@ def test_stream_of_unique_chunks(spark, tmp_path):
     q = ingest.unique_chunks(src, 100).writeStream.format("memory").queryName("uniq").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("uniq").count() == 6
+
+
+def test_tags(spark, tmp_path):
+    e = engine(spark, tmp_path / "s")
+    e.make_bucket("team.docs")
+    e.put(spark.createDataFrame([("team.docs", "x", B, {METHOD_KEY: "FixedCDC"}), ("team.docs", "y", A, None)], PUT))
+    assert e.tags("team.docs", "x") == {}
+    e.set_tags("team.docs", "x", {"a": "1", "b": "2"})
+    e.set_tags("team.docs", "x", {"a": "3"})
+    assert e.tags("team.docs", "x") == {"a": "3"} and e.tags("team.docs", "y") == {}
+    assert e.head("team.docs", "x").first().user_defined[METHOD_KEY] == "FixedCDC"
+    e.set_tags("team.docs", "x", {})
+    assert e.tags("team.docs", "x") == {} and e.get("team.docs", "x") == B
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a").write_bytes(B)
+    (tmp_path / "in" / "sub" / "b").write_bytes(A)
+    c = ContentChunker(256, 64, 1024)
+    for fixed in (True, False):
+        got = files.chunk_files(spark, str(tmp_path / "in"), c, fixed).groupBy("path").agg(F.sum("len").alias("n")).collect()
+        assert sorted(x.n for x in got) == [5000, 5000]
+    assert files.file_hashes(str(tmp_path / "in" / "a"))[0] == __import__("base64").b64encode(__import__("hashlib").md5(B).digest()).decode()
+    assert files.pack_tar(str(tmp_path / "in"), str(tmp_path / "t.tar")) == 4
+    done, skipped = files.unpack_tar(str(tmp_path / "t.tar"), str(tmp_path / "out"))
+    assert len(done) == 4 and not skipped and (tmp_path / "out" / "in" / "a").read_bytes() == B
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "bad.tar", "w") as tar:
+        info = tarfile.TarInfo("../evil")
+        info.size = 1
+        tar.addfile(info, io.BytesIO(b"x"))
+    with pytest.raises(ValueError, match="leave"):
+        files.unpack_tar(str(tmp_path / "bad.tar"), str(tmp_path / "out"))
+    assert not (tmp_path / "evil").exists()
+
+
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "f").write_bytes(B)
+    run = lambda *a: cli.run(cli.parser().parse_args(["--store", str(tmp_path / "s"), *a]), spark)
+    run("mb", "team.docs")
+    run("upload", "team.docs", str(tmp_path / "tree" / "f"), "--object-name", "x/f", "--part-size", "2000")
+    run("download", "team.docs", "x/f", str(tmp_path / "back"))
+    assert (tmp_path / "back").read_bytes() == B
+    capsys.readouterr()
+    run("ls", "team.docs", "--delimiter", "/")
+    assert capsys.readouterr().out == "x/\n"
+    run("backup", "team.docs", str(tmp_path / "tree"))
+    name = capsys.readouterr().out.strip()
+    run("restore", "team.docs", name, str(tmp_path / "again"))
+    assert (tmp_path / "again" / "tree" / "f").read_bytes() == B
+    run("del-backup", "team.docs", name)
+    run("delete", "team.docs", "x/f")
+    run("gc")
+    run("rb", "team.docs")
+    assert cli.size_of("64M") == 64 << 20
