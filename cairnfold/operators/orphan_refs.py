@@ -1,8 +1,8 @@
 """References to records that do not exist (problem 1).
 
-References are pre-aggregated per key in the mappers and these few rows are held against the referenced
-table. Rows of heavy keys then meet a broadcast of the keys that failed, rows of all other keys a shuffled
-join; what both ways find is united and counted per period.
+References are pre-aggregated per key and period in the mappers. The counts of the few heavy keys are held
+against a broadcast of their targets, all others meet the referenced table in a shuffled join, and both are
+united. What failed goes back to the rows in the same two ways, to name them.
 """
 
 from __future__ import annotations
@@ -79,6 +79,22 @@ def _verdict() -> Column:
     )
 
 
+def _judged(
+    references: Mapping[str, Reference], targets: DataFrame, deleted: DataFrame, heavy_share: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The references; their counts per key and period; and those counts of which some reference fails, with the
+    state of its target."""
+    refs = _union(references)
+    ref = ["_scope", "_ref"]
+    counts = cut(refs.groupBy("tbl", "_key", *ref, "period").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_at")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    heavy = heavy_keys(counts, "_key", "_n", total, heavy_share)
+    state = referenced_state(targets, deleted)
+    # the earliest reference of a period fails if any does
+    failed = split_join(counts, state, ref, "_key", heavy, "left").where(_verdict().isNotNull())
+    return refs, counts, cut(failed.drop("_at"))
+
+
 def orphan_references(
     references: Mapping[str, Reference],
     targets: DataFrame,
@@ -92,23 +108,23 @@ def orphan_references(
     (registered after the reference was made); the first that holds. A null reference is none. A null
     scope resolves to nothing. A null time is never before a registration; its period is null.
     A repeated row counts once; with an empty target table every reference is missing.
-
-    The mappers reduce the references to one row for each key with its first time; only these meet the
-    referenced table. What is left, keys some reference of which fails, goes back to the rows: broadcast
-    if its counted size allows it, else only for heavy keys, while the rows of all others are shuffled.
     """
-    refs = _union(references)
-    scope, ref = F.coalesce("_scope", F.lit("")), ["_scope", "_ref"]
-    pre = refs.groupBy("_key", *ref).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_at"))
-    state = referenced_state(targets, deleted)
-    suspects = cut(pre.join(state, ["_key", *ref], "left").where(_verdict().isNotNull()).drop("_at"))
-    # a null scope has equals here, as it must meet its own suspects again
-    refs, known = refs.withColumn("_scope", scope), suspects.withColumn("_scope", scope).drop("_n")
-    if suspects.count() <= broadcast_keys:
-        joined = refs.join(F.broadcast(known), ["_key", *ref])
+    refs, _, failed = _judged(references, targets, deleted, heavy_share)
+    return _rows(refs, failed, heavy_share, broadcast_keys)
+
+
+def _rows(refs: DataFrame, failed: DataFrame, heavy_share: float, broadcast_keys: int) -> DataFrame:
+    """The references themselves: the keys and periods that failed are broadcast if their counted number allows it,
+    else only those of heavy keys, while the rows of all others are shuffled."""
+    on = ["tbl", "_scope", "_ref", "_month"]
+    # a null scope or period must meet its own kind again
+    again = {"_scope": F.coalesce("_scope", F.lit("")), "_month": F.coalesce("period", F.lit(""))}
+    refs, known = refs.withColumns(again), failed.withColumns(again).drop("_n", "period")
+    if failed.count() <= broadcast_keys:
+        joined = refs.join(F.broadcast(known), ["_key", *on])
     else:
-        total = suspects.agg(F.sum("_n")).first()[0]
-        joined = split_join(refs, known, ref, "_key", heavy_keys(suspects, "_key", "_n", total, heavy_share))
+        total = failed.agg(F.sum("_n")).first()[0]
+        joined = split_join(refs, known, on, "_key", heavy_keys(failed, "_key", "_n", total, heavy_share))
     return (
         joined.withColumn("reason", _verdict())
         .where("reason is not null")
@@ -127,13 +143,14 @@ def orphan_report(
     """Counts ``tbl, period, refs, missing, deleted, later, orphans``: ``refs`` are references as
     delivered, repeated rows included, the others distinct references. Periods without a reference have
     no row; a null time makes a null period."""
-    refs = _union(references).groupBy("tbl", "period").agg(F.count(F.lit(1)).alias("refs"))
+    refs, counts, failed = _judged(references, targets, deleted, heavy_share)
+    whole = counts.groupBy("tbl", "period").agg(F.sum("_n").alias("refs"))
     n = lambda what: F.count(F.when(F.col("reason") == what, 1)).alias(what)
     found = (
-        orphan_references(references, targets, deleted, heavy_share, broadcast_keys)
+        _rows(refs, failed, heavy_share, broadcast_keys)
         .groupBy("tbl", "period")
         .agg(n("missing"), n("deleted"), n("later"), F.count(F.lit(1)).alias("orphans"))
     )
     zero = [F.coalesce(found[c], F.lit(0)).alias(c) for c in ("missing", "deleted", "later", "orphans")]
-    same = (refs["tbl"] == found["tbl"]) & refs["period"].eqNullSafe(found["period"])
-    return refs.join(found, same, "left").select(refs["tbl"], refs["period"], "refs", *zero)
+    same = (whole["tbl"] == found["tbl"]) & whole["period"].eqNullSafe(found["period"])
+    return whole.join(found, same, "left").select(whole["tbl"], whole["period"], "refs", *zero)

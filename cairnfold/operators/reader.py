@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnfold.session import cut
+
 
 def range_plan(entries: DataFrame, start: Column | int, length: Column | int, keys: Sequence[str] = ("manifest_id",)) -> DataFrame:
     """Chunks that a range touches, with ``skip`` (bytes to leave out at its head) and ``take`` (bytes to use).
@@ -39,10 +41,17 @@ def locate(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     return entries.join(own, ["namespace", "dcid", "fp"])
 
 
-def missing_blocks(entries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Entries whose container lacks their fingerprint; empty where the store is sound."""
-    own = blocks.select("namespace", "dcid", "fp").distinct()
-    return entries.join(own, ["namespace", "dcid", "fp"], "left_anti")
+def missing_blocks(entries: DataFrame, blocks: DataFrame, broadcast_keys: int = 200_000) -> DataFrame:
+    """Entries whose container lacks their fingerprint; empty where the store is sound. Entries are reduced to their
+    keys before these meet the blocks, so that a fingerprint of very many entries is looked up once; what is
+    missing goes back to the entries, by a broadcast up to a counted number of keys."""
+    on = ["namespace", "dcid", "fp"]
+    keys = entries.select(*on).distinct()
+    missing = cut(keys.join(blocks.select(*on).distinct(), on, "left_anti"))
+    few = missing.count() <= broadcast_keys
+    null = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in on}  # a null key finds itself again
+    known = missing.withColumns(null).select(*null)
+    return entries.withColumns(null).join(F.broadcast(known) if few else known, list(null), "left_semi").drop(*null)
 
 
 def assemble(pieces: DataFrame, keys: Sequence[str], ordinal: str = "ordinal", data: str = "data") -> DataFrame:
