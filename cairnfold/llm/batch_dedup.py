@@ -264,7 +264,11 @@ def upload_links(elements: DataFrame, least: float = LEAST) -> DataFrame:
     counts = met.groupBy(F.col("b").alias("cid"), F.col("b2").alias("cid2"), F.col("to").alias("batch")).agg(
         F.sum("n").alias("links"), F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias("copies")
     )
-    out = sets.where(F.col("batch") > 0).join(ids, ["cid", "cid2"]).join(counts, ["cid", "cid2", "batch"], "left")
+    # a class may hold a large part of all objects
+    own, ids, counts = cut(own), cut(ids), cut(counts)
+    heavy = heavy_keys(own, "cid", "n", own.agg(F.sum("n")).first()[0] or 0)
+    out = split_join(sets.where(F.col("batch") > 0), ids, ["cid2"], "cid", heavy)
+    out = split_join(out, counts, ["cid2", "batch"], "cid", heavy, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return out.select("obj", "batch", "class_id", zero("copies"), zero("links"))
 
