@@ -172,22 +172,14 @@ def classes(sets: DataFrame) -> DataFrame:
 
 
 def frequent_elements(sets: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """Hashes (with scope) of the elements that may stand in very many of the sets, at most ``most``.
-    From one mergeable sketch; they steer the work and do not change the result."""
-    own = sets.select("scope", F.explode("codes").alias("code"))
-    both = F.struct("scope", "code").cast("string")
-    found = own.agg(
-        F.count(F.lit(1)).alias("n"), F.call_function("approx_top_k", both, F.lit(most), F.lit(10 * most)).alias("top")
-    ).first()
-    least = max(32, (found["n"] or 0) / most)
-    top = [x["item"][1:-1].rsplit(", ", 1) for x in found["top"] or [] if x["count"] >= least]
-    if not top:
-        return np.zeros(0, np.uint64)
-    spark = sets.sparkSession
-    scopes = {s for s, _ in top}
-    hashed = {r[0]: r[1] for r in spark.createDataFrame([(s,) for s in scopes], "s string").select("s", F.xxhash64("s")).collect()}
-    codes = np.array([int(c) for _, c in top], np.int64).view(np.uint64)
-    return codes ^ _mix(np.array([hashed[s] for s, _ in top], np.int64).view(np.uint64), 9)
+    """Hashes (with scope) of the elements of so many sets that there can be no more than ``most`` such; they steer
+    the work and do not change the result. Counted exactly, with the mappers' help."""
+    total = sets.agg(F.sum(F.size("codes"))).first()[0] or 0
+    least = max(32, total / most)
+    each = sets.select(F.xxhash64("scope").alias("s"), F.explode("codes").alias("code"))
+    rows = each.groupBy("s", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("s", "code").collect()
+    pairs = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2).view(np.uint64)
+    return pairs[:, 1] ^ _mix(pairs[:, 0], 9)
 
 
 def signatures(table: DataFrame, frequent: np.ndarray, batch: str, probe: bool, least: float = LEAST) -> DataFrame:
