@@ -170,20 +170,41 @@ def _complete(out: Plan, rest: dict[int, int]) -> None:
                 del rest[s]
 
 
-def _tables(plans: dict[int, Plan]) -> dict[int, dict[int, np.ndarray]]:
-    """For each limit and size the intervals of ranks: first rank, first container, copies a container."""
-    out: dict[int, dict[int, np.ndarray]] = {}
+@dataclass(frozen=True)
+class _Intervals:
+    """For each (limit, size) the intervals of ranks and the containers they fill, as sorted arrays: rank
+    ``first[i] + r`` of its pair lies in container ``container[i] + r // copies[i]``."""
+
+    pairs: np.ndarray  # sorted, limit number times (largest capacity + 1) plus size
+    first: np.ndarray  # sorted, pair number times 2**40 plus rank
+    container: np.ndarray
+    copies: np.ndarray
+    limits: dict[int, int]
+    width: int
+
+    def containers(self, limit: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        number = np.array([self.limits[x] for x in limit.tolist()], np.int64)
+        pair = np.searchsorted(self.pairs, number * self.width + size)
+        at = pair * (1 << 40) + rank
+        i = np.searchsorted(self.first, at, "right") - 1
+        return self.container[i] + (at - self.first[i]) // self.copies[i]
+
+
+def _intervals(plans: dict[int, Plan]) -> _Intervals:
+    limits = {limit: i for i, limit in enumerate(sorted(plans))}
+    width = max((p.capacity for p in plans.values()), default=0) + 1
+    rows = []
     for limit, p in plans.items():
         at: dict[int, int] = {}
-        rows: dict[int, list[tuple[int, int, int]]] = {}
         container = 1
         for n, config in p.configurations:
             for s, k in config.items():
-                rows.setdefault(s, []).append((at.get(s, 0), container, k))
+                rows.append((limits[limit] * width + s, at.get(s, 0), container, k))
                 at[s] = at.get(s, 0) + n * k
             container += n
-        out[limit] = {s: np.array(x, np.int64) for s, x in rows.items()}
-    return out
+    table = np.array(sorted(rows), np.int64).reshape(-1, 4)
+    pairs, number = np.unique(table[:, 0], return_inverse=True)
+    return _Intervals(pairs, number * (1 << 40) + table[:, 1], table[:, 2], table[:, 3], limits, width)
 
 
 def _limits(limits: DataFrame) -> list[tuple[int, int]]:
@@ -230,7 +251,7 @@ def pack(sizes: DataFrame, limits: DataFrame, item: str = "doc_id", size: str =
     sizes = sizes.select(item, size).distinct()
     items = cut(pieces(sizes, limits, item, size))
     plans = solve(items)
-    tables = _tables(plans)
+    intervals = _intervals(plans)
     groups = max(1, -(-items.count() // group))
     dealt = items.withColumn("_g", F.pmod(F.xxhash64(item, "piece"), F.lit(groups)).cast("int"))
     part = ["limit_id", "size", "_g"]
@@ -245,14 +266,7 @@ def pack(sizes: DataFrame, limits: DataFrame, item: str = "doc_id", size: str =
     @F.pandas_udf("bigint")
     def container(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for limit, width, rank in batches:
-            out = np.zeros(len(limit), np.int64)
-            frame = pd.DataFrame({"l": limit, "s": width, "i": np.arange(len(limit))})
-            for (lim, s), at in frame.groupby(["l", "s"])["i"]:
-                t = tables[lim][s]
-                r = rank.to_numpy()[at.to_numpy()]
-                k = np.searchsorted(t[:, 0], r, "right") - 1
-                out[at.to_numpy()] = t[k, 1] + (r - t[k, 0]) // t[k, 2]
-            yield pd.Series(out)
+            yield pd.Series(intervals.containers(limit.to_numpy(), width.to_numpy(), rank.to_numpy()))
 
     placed = ranked.select("limit_id", item, "piece", "size", container("limit_id", "size", "_rank").alias("container_id"))
     none = _for_each(sizes.where(F.coalesce(F.col(size), F.lit(0)) <= 0), limits)
