@@ -162,6 +162,8 @@ class Model:
         self.letters = max(1, sum(single.values()))
         self.frequent = [c for c, _ in sorted(single.items(), key=lambda x: -x[1]) if not c.isascii()][:256]
         self._score: dict[str, float] = {}
+        #: what ``restore`` found for stretches and channels
+        self.known: dict[tuple[str, str, str], str | None] = {}
 
     def letter(self, c: str) -> float:
         n = self.single.get(c, 0)
@@ -314,37 +316,58 @@ def _leads(data: bytes) -> bool:
     return any(a >= 0xC2 and a < 0xF5 and 0x80 <= b < 0xC0 for a, b in zip(data, data[1:], strict=False))
 
 
+def reading(text: str, wrong: str, right: str, model: Model | None = None) -> tuple[str, float] | None:
+    """What the stretch was before the channel, if it can have come through it, and the cost of bytes left out.
+    ``utf-8 twice``: UTF-8 read as ``wrong``, and the result so once more. ``lost``: characters are gone."""
+    if right == "utf-16-be":
+        swap = _swapped(text)
+        return None if swap is None else (swap, 0.0)
+    if right == "lost":
+        return (_fill(text, model), 0.0) if _LOST in text and model is not None and wrong == "utf-8" else None
+    if right == "utf-8 twice":
+        once = reading(text, wrong, "utf-8", model)
+        if once is None or once[0].isascii():
+            return None
+        again = _decoded(once[0], wrong, "utf-8", None)
+        return None if again is None else (again[0], once[1])
+    return _decoded(text, wrong, right, model)
+
+
 def readings(text: str, model: Model | None = None) -> Iterator[tuple[str, str, str, float]]:
     """``wrong, right, restored, cost`` for every channel by which the stretch can have come about."""
-    swap = _swapped(text)
+    swap = reading(text, "utf-16-le", "utf-16-be")
     if swap is not None:
-        yield "utf-16-le", "utf-16-be", swap, 0.0
+        yield "utf-16-le", "utf-16-be", *swap
         return
     for wrong, right in CHANNELS:
-        found = _decoded(text, wrong, right, model)
+        found = reading(text, wrong, right, model)
         if found is None:
             continue
-        out, cost = found
-        yield wrong, right, out, cost
-        if right == "utf-8" and not out.isascii():  # twice the same way
-            again = _decoded(out, wrong, right, None)
+        yield wrong, right, *found
+        if right == "utf-8" and not found[0].isascii():
+            again = _decoded(found[0], wrong, right, None)
             if again is not None:
-                yield wrong, right + " twice", again[0], cost
-    if _LOST in text and model is not None:
-        yield "utf-8", "lost", _fill(text, model), 0.0
+                yield wrong, "utf-8 twice", again[0], found[1]
+    lost = reading(text, "utf-8", "lost", model)
+    if lost is not None:
+        yield "utf-8", "lost", *lost
+
+
+def gain_of(text: str, wrong: str, right: str, restored: str, cost: float, model: Model) -> float:
+    """Nats by which the reading is better than the stretch as it stands; 0 or less: it is not."""
+    if right == "utf-16-be":
+        return 6.0 * len(text)
+    if right[:5] != "utf-8" and not model.knows(restored):
+        return 0.0
+    prior = UTF8_PRIOR if "utf-8" in (wrong, right[:5]) else OTHER_PRIOR
+    return model.restored(restored) - model.score(text) - cost + prior
 
 
 def judge(text: str, model: Model) -> list[tuple[str, str, str, float]]:
     """Readings more probable than the stretch itself: ``wrong, right, restored, gain`` in nats."""
-    own = model.score(text)
     out = []
     for wrong, right, restored, cost in readings(text, model):
-        if right[:5] != "utf-8" and right[:6] != "utf-16" and not model.knows(restored):
-            continue
-        if right == "utf-16-be":
-            gain = 6.0 * len(text)
-        else:
-            gain = model.restored(restored) - own - cost + (UTF8_PRIOR if "utf-8" in (wrong, right[:5]) else OTHER_PRIOR)
+        gain = gain_of(text, wrong, right, restored, cost, model)
         if gain > 0:
             out.append((wrong, right, restored, gain))
     if not out and any("\x80" <= c <= "\x9f" and c != "\x85" for c in text):
@@ -468,9 +491,16 @@ def restore(text: str, wrong: str, right: str, model: Model) -> tuple[str, int]:
     for a, b in sorted(stretches(text), key=lambda x: (x[0], -x[1])):
         if a < at:
             continue
-        found = [r for r in judge(text[a:b], model) if r[0] == wrong and r[1] == right]
-        if found:
-            out += [text[at:a], found[0][2]]
+        own = text[a:b]
+        key = (own, wrong, right)
+        if key not in model.known:
+            if len(model.known) >= 1 << 20:
+                model.known.clear()
+            found = reading(own, wrong, right, model)
+            better = found is not None and gain_of(own, wrong, right, *found, model) > 0
+            model.known[key] = found[0] if better else None
+        if model.known[key] is not None:
+            out += [text[at:a], model.known[key]]
             at, n = b, n + 1
     return "".join(out) + text[at:], n
 
