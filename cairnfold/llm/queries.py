@@ -33,13 +33,14 @@ def p3_sharing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
-    """Committed objects as batch 0 and the uploads of all batches."""
+    """Committed objects as batch 0 and the uploads of all batches; elements as the 64 bits the operator keeps of them."""
+    code = F.when(F.col("fp").isNotNull(), F.xxhash64(F.lower("fp"))).alias("element")
     entries, objects = table(spark, d, "manifest_entries"), table(spark, d, "objects")
-    own = entries.where("fp is not null").select("manifest_id", F.lower("fp").alias("element")).distinct()
+    own = entries.where("fp is not null").select("manifest_id", code).distinct()
     named = objects.where("manifest_id is not null").select("manifest_id", F.col("namespace").alias("scope"), F.col("obj_seq").alias("obj")).distinct()
     history = own.join(named, "manifest_id").select("scope", "obj", F.lit(0).alias("batch"), "element")
     uploads = table(spark, d, "chunks").select(
-        F.col("namespace").alias("scope"), F.col("obj_seq").alias("obj"), F.col("batch_no").alias("batch"), F.lower("fp").alias("element")
+        F.col("namespace").alias("scope"), F.col("obj_seq").alias("obj"), F.col("batch_no").alias("batch"), code
     )
     return history.unionByName(uploads)
 
