@@ -359,8 +359,10 @@ def gain_of(text: str, wrong: str, right: str, restored: str, cost: float, model
         return 6.0 * len(text)
     if right[:5] != "utf-8" and not model.knows(restored):
         return 0.0
-    prior = UTF8_PRIOR if "utf-8" in (wrong, right[:5]) else OTHER_PRIOR
-    return model.restored(restored) - model.score(text) - cost + prior
+    own_form = "utf-8" in (wrong, right[:5])
+    # where any text can be read so, the stretch too may be known as a whole, with its signs
+    stands = model.score(text) if own_form or right in _WIDE else model.restored(text)
+    return model.restored(restored) - stands - cost + (UTF8_PRIOR if own_form else OTHER_PRIOR)
 
 
 def judge(text: str, model: Model) -> list[tuple[str, str, str, float]]:
@@ -435,19 +437,15 @@ def fit(types: DataFrame, most_words: int = MOST_WORDS) -> Model:
     return Model({r["stretch"]: r["n"] for r in sorted(clean)})
 
 
-def judged_stretches(types: DataFrame, model: Model, sure: int = 20) -> DataFrame:
-    """``stretch, wrong, right, gain`` for every reading better than the stretch. Words of the model that ``sure``
-    documents have are taken for right without a look."""
+def judged_stretches(types: DataFrame, model: Model) -> DataFrame:
+    """``stretch, wrong, right, gain`` for every reading better than the stretch, however many documents have it: what
+    speaks for damage is a ratio of counts, which does not change with the size of the corpus."""
     words = model.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(words)
         for batch in batches:
-            rows = [
-                (w, wrong, right, gain)
-                for w in batch.column(0).to_pylist() if words.get(w, 0) < sure
-                for wrong, right, _, gain in judge(w, own)
-            ]
+            rows = [(w, wrong, right, gain) for w in batch.column(0).to_pylist() for wrong, right, _, gain in judge(w, own)]
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.float64()], strict=True)], names=["stretch", "wrong", "right", "gain"])
 

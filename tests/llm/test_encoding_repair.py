@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cairnfold.llm.encoding_repair import Model, damaged_documents, readings, restore, restored_documents, stretches, to_bytes, viterbi
+from cairnfold.llm.encoding_repair import Model, damaged_documents, judge, judged_stretches, readings, restore, restored_documents, stretches, to_bytes, viterbi
 
 LINES = [
     "Corrige la boîte à idées après l’échec du relevé", "Überprüfe die Größe der Einträge im Menü", "Elimina la señal de cierre y el número de línea",
@@ -85,3 +85,26 @@ def test_stretches_cover_everything_beyond_ascii():
     for a, b in stretches(text):
         covered |= set(range(a, b))
     assert {i for i, c in enumerate(text) if not c.isascii()} <= covered
+
+
+def test_common_damage_is_judged_like_rare_damage(spark):
+    for times in (1, 10, 1000):  # the same corpus, so many times over
+        model = Model({"–": 2415 * times, "“": 900 * times, "é": 40 * times, "ñ": 3 * times})
+        types = spark.createDataFrame([(w, n) for w, n in model.words.items()], "stretch string, n long")
+        found = {(x.stretch, x.wrong, x.right) for x in judged_stretches(types, model).collect()}
+        assert {x[0] for x in found} == {"ñ"}
+        assert ("ñ", "mac-roman", "cp1252") in found
+
+
+def test_damaged_documents_do_not_depend_on_the_number_of_copies(spark):
+    texts = [*["the brig – the quay"] * 2000, *["naïve"] * 40, *["the brig ñ the quay"] * 2]
+    for times in (1, 12):
+        found = damaged_documents(_frame(spark, texts * times))[0].collect()
+        assert len(found) == 2 * times
+        assert {texts[x.doc_id % len(texts)] for x in found} == {texts[-1]}
+
+
+def test_common_words_with_signs_are_no_damage():
+    words = {"“quiet": 2350, "didn’t": 1945, "¿quizá": 332, "Удали": 300, "Убери": 300, "é": 400}
+    model = Model(words)
+    assert not [w for w in words if judge(w, model)]
