@@ -13,6 +13,7 @@ each distinct stretch, and summed up for a document and channel.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from collections import defaultdict
@@ -63,24 +64,27 @@ _SWAPPED = re.compile("[%s]{3,}" % "".join(chr(b << 8) for b in range(0x20, 0x7F
 _ODD = re.compile(r"[\x80-\xbfŒŠŸŽƒˆ˜–‚„†‡•‰‹›€™]")
 
 
-def stretches(text: str) -> Iterator[tuple[int, int]]:
+def whole_stretches(text: str) -> Iterator[tuple[int, int]]:
     """Runs of letters and characters beyond ASCII with at least one of the latter; and, once more, runs with
     signs in between that may be bytes of two-byte characters, and runs of swapped UTF-16."""
     for m in _EASTERN.finditer(text):
         own = m.group()
         if not own.isalpha() and len(_ODD.findall(own)) >= 2:
-            a, b = m.span()
-            for i in range(a, b, PIECE):
-                yield i, min(b, i + PIECE)
+            yield m.span()
     for m in _SWAPPED.finditer(text):
-        for i in range(m.start(), m.end(), PIECE):
-            yield i, min(m.end(), i + PIECE)
+        yield m.span()
     last = 0
     for m in _STRETCH.finditer(text):
         a, b = m.span()
         while a > last and text[a - 1].isascii() and text[a - 1].isalpha():
             a -= 1
         last = b
+        yield a, b
+
+
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """``whole_stretches`` in pieces, as they are counted and judged."""
+    for a, b in whole_stretches(text):
         for i in range(a, b, PIECE):
             yield i, min(b, i + PIECE)
 
@@ -195,11 +199,16 @@ class Model:
         return (self.pairs.get(a + b, 0) + 2.0 * own) / (n + 2.0)
 
     def word(self, w: str) -> float:
-        p, last = 1.0, "^"
+        p, logs, last = 1.0, 0.0, "^"
         for c in w:
             p *= self.pair(last, c)
             last = c
+            if p < 1e-200:
+                logs, p = logs + math.log(p), 1.0
         p *= self.pair(last, "$")
+        if logs:  # too small for a float
+            n = self.words.get(w, 0)
+            return max(math.log(0.7 * n / self.total) if n else -math.inf, math.log(0.3 * p) + logs)
         return math.log(0.7 * self.words.get(w, 0) / self.total + 0.3 * p + 1e-300)
 
     def score(self, text: str) -> float:
@@ -288,13 +297,13 @@ def _swapped(text: str) -> str | None:
     return "".join(chr(ord(c) >> 8) for c in text) if _SWAPPED.fullmatch(text) else None
 
 
-def _decoded(text: str, wrong: str, right: str, model: Model | None) -> tuple[str, float] | None:
+def _decoded(text: str, wrong: str, right: str, model: Model | None, edges: bool) -> tuple[str, float] | None:
     lattice = to_bytes(text, wrong)
     if lattice is None:
         return None
     if None not in lattice:
         data = bytes(lattice)  # type: ignore[arg-type]
-        out = _plain(data, right, len(text) >= PIECE - 3)
+        out = _plain(data, right, edges)
         if out is not None:
             fits = right not in _WIDE or _eastern(out) or (model is not None and out in model.words)
             return (out, 0.0) if out != text and fits else None
@@ -316,21 +325,22 @@ def _leads(data: bytes) -> bool:
     return any(a >= 0xC2 and a < 0xF5 and 0x80 <= b < 0xC0 for a, b in zip(data, data[1:], strict=False))
 
 
-def reading(text: str, wrong: str, right: str, model: Model | None = None) -> tuple[str, float] | None:
+def reading(text: str, wrong: str, right: str, model: Model | None = None, edges: bool = False) -> tuple[str, float] | None:
     """What the stretch was before the channel, if it can have come through it, and the cost of bytes left out.
-    ``utf-8 twice``: UTF-8 read as ``wrong``, and the result so once more. ``lost``: characters are gone."""
+    ``utf-8 twice``: UTF-8 read as ``wrong``, and the result so once more. ``lost``: characters are gone. ``edges``:
+    the text is a piece, and parts of characters at its ends are passed over, which will do for judging only."""
     if right == "utf-16-be":
         swap = _swapped(text)
         return None if swap is None else (swap, 0.0)
     if right == "lost":
         return (_fill(text, model), 0.0) if _LOST in text and model is not None and wrong == "utf-8" else None
     if right == "utf-8 twice":
-        once = reading(text, wrong, "utf-8", model)
+        once = reading(text, wrong, "utf-8", model, edges)
         if once is None or once[0].isascii():
             return None
-        again = _decoded(once[0], wrong, "utf-8", None)
+        again = _decoded(once[0], wrong, "utf-8", None, edges)
         return None if again is None else (again[0], once[1])
-    return _decoded(text, wrong, right, model)
+    return _decoded(text, wrong, right, model, edges)
 
 
 def readings(text: str, model: Model | None = None) -> Iterator[tuple[str, str, str, float]]:
@@ -339,13 +349,14 @@ def readings(text: str, model: Model | None = None) -> Iterator[tuple[str, str,
     if swap is not None:
         yield "utf-16-le", "utf-16-be", *swap
         return
+    edges = len(text) >= PIECE - 3
     for wrong, right in CHANNELS:
-        found = reading(text, wrong, right, model)
+        found = reading(text, wrong, right, model, edges)
         if found is None:
             continue
         yield wrong, right, *found
         if right == "utf-8" and not found[0].isascii():
-            again = _decoded(found[0], wrong, right, None)
+            again = _decoded(found[0], wrong, right, None, edges)
             if again is not None:
                 yield wrong, "utf-8 twice", again[0], found[1]
     lost = reading(text, "utf-8", "lost", model)
@@ -483,20 +494,68 @@ def damaged_documents(
     return found.where("score > 0"), model
 
 
+def _pieces(text: str, wrong: str, right: str) -> Iterator[str]:
+    """The text in pieces of about ``PIECE`` characters, cut where a character of the channel ends. What begins or
+    ends amid such a character, or cannot have come through the channel, is a piece of its own."""
+    if right in ("utf-16-be", "lost"):
+        yield from (text[i : i + PIECE] for i in range(0, len(text), PIECE))
+        return
+    steps = [codecs.getincrementaldecoder("utf-8" if right[:5] == "utf-8" else right)("replace") for _ in range(1 + (right == "utf-8 twice"))]
+    start = border = 0
+    sound = True  # whether what has come since ``start`` has a first character
+    for i, c in enumerate(text):
+        data = to_bytes(c, wrong)
+        if data is None:  # not of this channel
+            yield from (x for x in (text[start:border], text[border:i], c) if x)
+            start = border = i + 1
+            for d in steps:
+                d.reset()
+            continue
+        now = "".join(chr(0x80 if b is None else b) for b in data).encode("latin-1")
+        for k, d in enumerate(steps):
+            read = d.decode(now)
+            if k + 1 < len(steps):
+                now = b"".join(bytes(x) for x in (to_bytes(y, wrong) for y in read) if x and None not in x)
+        if any(d.getstate()[0] for d in steps):
+            continue
+        if start == border:
+            sound = read != "" and _LOST not in read
+        border = i + 1
+        if border - start >= PIECE or not sound:
+            yield text[start:border]
+            start = border
+    yield from (x for x in (text[start:border], text[border:]) if x)
+
+
+def _restored(own: str, wrong: str, right: str, model: Model) -> str | None:
+    """What the stretch, or of a long one what parts of it can, was before the channel; None: it reads better as is."""
+    if len(own) <= PIECE:
+        found = reading(own, wrong, right, model)
+        return found[0] if found is not None and gain_of(own, wrong, right, *found, model) > 0 else None
+    if right not in ("utf-16-be", "lost"):
+        found = reading(own, wrong, right)  # without a search, which is for pieces
+        if found is not None and gain_of(own, wrong, right, *found, model) > 0:
+            return found[0]
+    out = ""
+    for piece in _pieces(own, wrong, right):
+        found = reading(piece, wrong, right, model)
+        out += found[0] if found is not None and gain_of(piece, wrong, right, *found, model) > 0 else piece
+    return out if out != own else None
+
+
 def restore(text: str, wrong: str, right: str, model: Model) -> tuple[str, int]:
     """The text with every stretch replaced that reads better by the channel, and how many were."""
     out, at, n = [], 0, 0
-    for a, b in sorted(stretches(text), key=lambda x: (x[0], -x[1])):
-        if a < at:
+    for a, b in sorted(whole_stretches(text), key=lambda x: (x[0], -x[1])):
+        a = max(a, at)
+        if a >= b:
             continue
         own = text[a:b]
         key = (own, wrong, right)
         if key not in model.known:
             if len(model.known) >= 1 << 20:
                 model.known.clear()
-            found = reading(own, wrong, right, model)
-            better = found is not None and gain_of(own, wrong, right, *found, model) > 0
-            model.known[key] = found[0] if better else None
+            model.known[key] = _restored(own, wrong, right, model)
         if model.known[key] is not None:
             out += [text[at:a], model.known[key]]
             at, n = b, n + 1

@@ -108,3 +108,25 @@ def test_common_words_with_signs_are_no_damage():
     words = {"“quiet": 2350, "didn’t": 1945, "¿quizá": 332, "Удали": 300, "Убери": 300, "é": 400}
     model = Model(words)
     assert not [w for w in words if judge(w, model)]
+
+
+@pytest.mark.parametrize("right, wrong", [("utf-8", "latin-1"), ("utf-8", "cp437"), ("utf-8", "koi8-r"), ("utf-8 twice", "latin-1"), ("gbk", "latin-1")])
+def test_long_stretches_come_back_whole(right, wrong):
+    words = {w: 50 for line in (LINES[3], LINES[12]) for w in line.replace("，", " ").split()} | {"，": 40, "порядок": 60}
+    model = Model(words)
+    base = LINES[12].replace("，", "") * 9
+    for lead in range(3):  # the old cuts then fall elsewhere in a character
+        want = base[lead:] if right == "gbk" else "é" * lead + base
+        damaged = want
+        for _ in range(1 + (right == "utf-8 twice")):
+            damaged = damaged.encode(right.split()[0]).decode(wrong)
+        assert restore(damaged, wrong, right, model)[0] == want
+
+
+def test_parts_of_characters_at_the_ends_stay():
+    model = Model({w: 50 for w in LINES[3].split()} | {"Проверитьпорядок": 20})
+    want = "Проверитьпорядок" * 10
+    damaged = want.encode().decode("latin-1")
+    assert restore(damaged[1:], "latin-1", "utf-8", model)[0] == damaged[1] + want[1:]
+    assert restore(damaged[:-1], "latin-1", "utf-8", model)[0] == want[:-1] + damaged[-2]
+    assert restore("日" + damaged, "latin-1", "utf-8", model)[0] == "日" + want
