@@ -9,9 +9,9 @@ for each rotation and size class. A folded fingerprint of 128 bits then verifies
 the sets themselves the similarity.
 
 Elements of very many records are left out of the wide fingerprint (which cannot add a difference), as
-blocks of nothing else would be shared by all. Records with few other elements are also looked up by
-the elements of a prefix under one global order, of which similar sets always share one; frequent
-elements stand last in it. New records are appended to the tables; nothing about history is made anew.
+blocks of nothing else would be shared by all. As the blocks without a difference may be empty in both,
+records are also looked up by the elements of a prefix under one global order, of which similar sets
+always share one; frequent elements stand last in it. New records are appended to the tables; nothing about history is made anew.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ LEAST = 0.7
 ROTATIONS = 3
 #: At most so many frequent elements are left out of the block tables.
 FREQUENT = 20_000
-#: With so many shared elements that are not frequent, a miss of all rotations is unlikely enough.
-ENOUGH = 6
 _STEP = 1.15
 
 
@@ -126,19 +124,13 @@ def _signatures(least: float, frequent: np.ndarray, probe: bool):
                 for r in range(ROTATIONS):
                     if use.any():
                         parts.append(_keys(cold[use], cold_owner[use], scope, kk, blocks[kk], r))
-            # sets that are poor in other elements: the prefix under one order, frequent elements last
-            n_cold = np.bincount(cold_owner, minlength=n_sets)
-            poor = n_cold < ENOUGH + ladder.differences(size, np.floor(size / least + 1e-9))
-            if poor.any():
-                rank = (_mix(codes, 7) >> np.uint64(1)) | (hot.astype(np.uint64) << np.uint64(63))
-                order = np.lexsort((rank, owner))
-                place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-                prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
-                use = poor[owner] & (place < prefix[owner])
-                at = order[use]
-                parts.append((owner[at], _mix(codes[at] + _mix(scope[owner[at]], 11), 12).view(np.int64)))
-            if not parts:
-                continue
+            # the prefix under one order, frequent elements last: exact, whatever blocks are empty
+            rank = (_mix(codes, 7) >> np.uint64(1)) | (hot.astype(np.uint64) << np.uint64(63))
+            order = np.lexsort((rank, owner))
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+            prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+            at = order[place < prefix[owner]]
+            parts.append((owner[at], _mix(codes[at] + _mix(scope[owner[at]], 11), 12).view(np.int64)))
             o, key = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             take = pa.array(o)
             yield pa.RecordBatch.from_arrays(

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairnfold.llm import batch_dedup
@@ -115,3 +117,17 @@ def test_chunk_verdicts(spark):
         want[i] = (k is not None and (k in known or k in seen), at.get(k))
         seen.add(k)
     assert got == want
+
+
+def test_no_pair_is_left_to_chance():
+    """Sets of 8 inside sets of 11 that have no block in common in any rotation."""
+    codes = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, (40_000, 11))[[8982, 24034, 28655, 34099, 38662]]
+    found = []
+    for width, probe in ((8, False), (11, True)):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([0] * 5), pa.array(codes[:, :width].tolist(), pa.list_(pa.int64())), pa.array(range(5)), pa.array([1] * 5, pa.int32())],
+            names=["scope_hash", "codes", "cid", "batch"],
+        )
+        out = pa.Table.from_batches(batch_dedup._signatures(0.7, np.zeros(0, np.uint64), probe)(iter([batch])))
+        found.append(set(zip(out["key"].to_pylist(), out["cid"].to_pylist(), strict=True)))
+    assert {cid for _, cid in found[0] & found[1]} == set(range(5))
