@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from cairnfold.operators.heavy_keys import key_loads, overloading
+from cairnfold.operators.heavy_keys import key_loads, overloading, scattered_groups
 from cairnfold.operators.orphan_refs import Reference, orphan_references, orphan_report
 
 T0 = datetime(2024, 1, 31, 12)
@@ -92,8 +92,8 @@ def _loads_truth(rows):
     return out
 
 
-@pytest.mark.parametrize("split_rows", [16, 1 << 18])
-def test_key_loads(spark, split_rows):
+@pytest.mark.parametrize("split_rows, partitions, broadcast_bytes", [(16, 1, 1 << 20), (1 << 18, 3, 1 << 20), (64, 5, 0), (1 << 18, 1, 1 << 20)])
+def test_key_loads(spark, split_rows, partitions, broadcast_bytes):
     r = random.Random(2)
     hexes = ["%064x" % r.getrandbits(256) for _ in range(20)]
     rows = []
@@ -102,14 +102,23 @@ def test_key_loads(spark, split_rows):
         fp = hexes[0] if r.random() < 0.4 else r.choice([*hexes, None, "short", "", "z" * 64])
         rows.append((m if r.random() > 0.02 else None, i, fp, 7 if r.random() < 0.5 else r.choice([None, -3, 2**40, r.randrange(50)]), r.choice([None, 0, 10, 2**33])))
     rows += rows[:200]
-    df = spark.createDataFrame([(*x, 1, "e") for x in rows], "manifest_id string, ordinal int, fp string, dcid bigint, len bigint, part int, block string")
-    got = key_loads(df, ["fp", "dcid"], "manifest_id", ["manifest_id", "ordinal"], "len", split_rows=split_rows)
+    df = spark.createDataFrame([(*x, 1, "e") for x in rows], "manifest_id string, ordinal int, fp string, dcid bigint, len bigint, part int, block string").repartition(partitions)
+    got = key_loads(df, ["fp", "dcid"], "manifest_id", ["manifest_id", "ordinal"], "len", split_rows=split_rows, broadcast_bytes=broadcast_bytes)
     mine = {(x.key_col, x.key_val): (x.deliveries, x.records, x.bytes, x.groups) for x in got.collect()}
     assert mine == _loads_truth(rows)
     top = {tuple(x) for x in overloading(got, len(rows), 0.3).collect()}
     assert top == {k for k, v in mine.items() if v[0] >= 0.3 * len(rows)}
 
 
+def test_key_loads_shuffles_only_scattered_groups(spark):
+    rows = [(f"m{i // 50}", i, f"f{i % 7}", i % 3, 1) for i in range(1000)] + [("m0", 0, "f0", 0, 1), ("m19", 5000, "f1", 1, 1)]
+    df = spark.createDataFrame(rows, "manifest_id string, ordinal int, fp string, dcid bigint, len bigint").coalesce(1)
+    found, some, n = scattered_groups(df, "manifest_id", 1 << 18)
+    assert (some, n) == (0, 1002)
+    found, some, n = scattered_groups(df.repartition(2), "manifest_id", 1 << 18)
+    assert (some, n) == (20, 1002)
+
+
 def test_key_loads_of_an_empty_table(spark):
     df = spark.createDataFrame([], "manifest_id string, ordinal int, fp string, dcid bigint, len bigint")
     assert key_loads(df, ["fp", "dcid"], "manifest_id", ["manifest_id", "ordinal"], "len").count() == 0
