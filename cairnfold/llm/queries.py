@@ -23,6 +23,11 @@ def p2_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit(table(spark, d, "manifest_entries"), table(spark, d, "chunks"))
 
 
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What of the audit SQL can count too."""
+    return p2_audit(spark, d).select("batch", "questions", "known", "repeats", "wrong_no")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = shared_spans(table(spark, d, "manifest_entries"))
     return found.select(F.col("record").alias("manifest_id"), F.col("ordinal").cast("int").alias("ordinal"))
@@ -92,7 +97,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_audit": p2_audit,
+    "p2_found": p2_found, "p2_audit": p2_audit, "p2_counts": p2_counts,
     "p3_found": p3_found, "p3_sharing": p3_sharing,
     "p4_found": p4_found, "p4_uploads": p4_uploads, "p4_chunks": p4_chunks,
     "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares,
@@ -137,6 +142,12 @@ f AS (SELECT namespace, fp, min(chunk_id) AS first FROM c GROUP BY ALL),
 h AS (SELECT DISTINCT namespace, lower(fp) AS fp FROM manifest_entries WHERE fp IS NOT NULL)
 SELECT DISTINCT chunk_id FROM c JOIN f USING (namespace, fp) LEFT JOIN (SELECT namespace, fp, 1 AS old FROM h) USING (namespace, fp)
 WHERE old = 1 OR first < chunk_id""",
+    "p2_counts": """
+WITH c AS (SELECT batch_no AS batch, namespace, lower(fp) AS fp, count(*) AS n FROM chunks WHERE namespace IS NOT NULL AND fp IS NOT NULL GROUP BY ALL),
+f AS (SELECT namespace, fp, min(batch) AS first FROM c GROUP BY ALL),
+h AS (SELECT DISTINCT namespace, lower(fp) AS fp, 1 AS old FROM manifest_entries WHERE fp IS NOT NULL)
+SELECT batch, count(*) AS questions, count(*) FILTER (old = 1 OR first < batch) AS known, CAST(sum(n - 1) AS BIGINT) AS repeats, 0 AS wrong_no
+FROM c JOIN f USING (namespace, fp) LEFT JOIN h USING (namespace, fp) GROUP BY ALL""",
     "p4_found": _P4 + "SELECT a AS obj_a, c AS obj_b FROM pairs",
     "p4_uploads": _P4 + """, ids AS (SELECT ns, content, min(obj) AS class_id FROM n GROUP BY ALL),
 l AS (SELECT c, count(*) AS links, count(*) FILTER (same) AS copies FROM pairs GROUP BY ALL)

@@ -5,21 +5,28 @@ the gaps between them stored with a Golomb code in blocks of ``BLOCK`` values: a
 key. A question decodes only the block that could hold its value. A key that was there is always
 found; one that was not is taken for one with probability ``keys / range``.
 
-Answers of "yes" can then be verified with the keys themselves, which needs a join of those few only.
+Coded sets are stored, and added to batch by batch (``SeenKeys``); answering needs nothing else of history.
+Answers of "yes" can then be verified with the keys themselves: the hashes of those keys, coded in the same way,
+pick the rows of history where these stand, and only rows picked are shuffled. Rows that repeat a key within one
+batch are decided by their order, exactly; ``audit`` counts them.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnfold.operators.arrow_groups import binaries, column, ranges
 from cairnfold.operators.skew import HEAVY_SHARE, heavy_keys, split_join
-from cairnfold.session import cut, shuffle_width
+from cairnfold.session import checkpoint_dir, cut
 
 #: One wrong yes in 2**BITS new keys.
 BITS = 10
@@ -27,6 +34,8 @@ BITS = 10
 BLOCK = 128
 #: Keys that a shard is made for, which bounds a worker's memory.
 SHARD_KEYS = 1 << 20
+#: Bytes of coded hashes that go to the mappers of history, to pick the rows that a yes is verified with.
+FILTER_BYTES = 32 << 20
 
 
 def reduce_hash(h: np.ndarray, scope: int) -> np.ndarray:
@@ -131,20 +140,22 @@ class CodedSet:
 _BLOCKS = "shard int, scope bigint, shift int, first bigint, count int, unary int, code binary"
 
 
-def _build(bits: int):
+def _rows(s: CodedSet, shard: int) -> pa.Table:
+    k = len(s.first)
+    return pa.table(
+        [
+            pa.array(np.full(k, shard, np.int32)), pa.array(np.full(k, s.scope)),
+            pa.array(np.full(k, s.shift, np.int32)), pa.array(s.first), pa.array(s.count.astype(np.int32)),
+            pa.array(s.unary.astype(np.int32)), binaries(s.data, np.diff(s.start)),
+        ],
+        names=["shard", "scope", "shift", "first", "count", "unary", "code"],
+    )
+
+
+def _build(scope: int):
     def run(table: pa.Table) -> pa.Table:
-        h = column(table, "h").to_numpy()
-        scope = max(1, len(h)) << bits
-        s = CodedSet.of(np.unique(reduce_hash(h, scope)), scope)
-        k = len(s.first)
-        return pa.table(
-            [
-                pa.array(np.full(k, table["shard"][0].as_py(), np.int32)), pa.array(np.full(k, scope)),
-                pa.array(np.full(k, s.shift, np.int32)), pa.array(s.first), pa.array(s.count.astype(np.int32)),
-                pa.array(s.unary.astype(np.int32)), binaries(s.data, np.diff(s.start)),
-            ],
-            names=["shard", "scope", "shift", "first", "count", "unary", "code"],
-        )
+        values = np.unique(reduce_hash(column(table, "h").to_numpy(), scope))
+        return _rows(CodedSet.of(values, scope), table["shard"][0].as_py())
 
     return run
 
@@ -162,21 +173,101 @@ def _read(table: pa.Table) -> CodedSet:
     )
 
 
-def coded_history(hashes: DataFrame, shards: int, bits: int = BITS) -> DataFrame:
+def _levels(table: pa.Table) -> list[CodedSet]:
+    """The coded sets of a shard, one for each generation."""
+    generation = column(table, "generation").to_numpy()
+    return [_read(table.filter(pa.array(generation == g))) for g in np.unique(generation)]
+
+
+def _union(table: pa.Table) -> pa.Table:
+    """Sets of one range merge exactly: the values of all generations of a shard, coded anew."""
+    values = np.unique(np.concatenate([x.values() for x in _levels(table)]))
+    return _rows(CodedSet.of(values, table["scope"][0].as_py()), table["shard"][0].as_py())
+
+
+def coded_set(hashes: DataFrame, shards: int, scope: int) -> DataFrame:
     """The stored form of a set of keys: rows of ``shard, scope, shift, first, count, unary, code``, one for each
     block. ``hashes``: bigint ``h`` in any number of repetitions, which the mappers reduce."""
     own = hashes.where("h is not null").distinct().withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    return own.groupBy("shard").applyInArrow(_build(bits), _BLOCKS)
+    return own.groupBy("shard").applyInArrow(_build(scope), _BLOCKS)
+
+
+class SeenKeys:
+    """The keys seen so far as coded sets in a folder: a generation of blocks for each ``append``, merged with the one
+    before as soon as that is not twice as large, so that there are few. History is never read again.
 
+    ``keys`` is how many the range is made for: with so many, one new key in ``2**bits`` is taken for an old one, with
+    fewer or more so many less or more. A range cannot be changed afterwards, as the hashes are gone; a store
+    opened again takes it from the folder. A generation counts from when its folder is complete.
+    """
 
-def _ask(bits: int, names: list[str]):
+    def __init__(self, spark: SparkSession, folder: str, keys: int = SHARD_KEYS, bits: int = BITS, shard_keys: int = SHARD_KEYS):
+        self.spark, self.folder = spark, folder
+        if self._exists("range"):
+            self.shards, self.scope = spark.read.parquet(os.path.join(folder, "range")).first()
+            return
+        self.shards = max(1, -(-keys // shard_keys))
+        self.scope = max(1, -(-keys // self.shards)) << bits
+        if self.scope > 1 << 32:
+            raise ValueError("a shard's range must not exceed 2**32")
+        spark.createDataFrame([(self.shards, self.scope)], "shards int, scope bigint").coalesce(1).write.parquet(os.path.join(folder, "range"))
+
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, name: str) -> bool:
+        fs, path = self._fs(os.path.join(name, "_SUCCESS"))
+        return fs.exists(path)
+
+    def generations(self) -> list[tuple[int, int]]:
+        """First and last ``append`` of each generation in use: of overlapping ones the widest."""
+        fs, path = self._fs("sets")
+        if not fs.exists(path):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(path)]
+        spans = sorted((int(a), -int(b)) for a, b in (x.split("-") for x in names) if self._exists(f"sets/{a}-{b}"))
+        out: list[tuple[int, int]] = []
+        for a, b in spans:
+            if not out or a > out[-1][1]:
+                out.append((a, -b))
+        return out
+
+    def _at(self, span: tuple[int, int]) -> DataFrame:
+        path = os.path.join(self.folder, "sets", f"{span[0]}-{span[1]}")
+        return self.spark.read.schema(_BLOCKS).parquet(path).withColumn("generation", F.lit(span[0]))
+
+    def blocks(self) -> DataFrame:
+        """Blocks of all generations, with ``generation``."""
+        own = [self._at(g) for g in self.generations()]
+        if not own:
+            return self.spark.createDataFrame([], _BLOCKS + ", generation int")
+        return reduce(DataFrame.unionByName, own)
+
+    def shard(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(self.shards)).cast("int")
+
+    def append(self, hashes: DataFrame) -> None:
+        """Adds keys by their bigint hashes ``h``."""
+        spans = self.generations()
+        nth = spans[-1][1] + 1 if spans else 0
+        span = (nth, nth)
+        coded_set(hashes, self.shards, self.scope).write.mode("overwrite").parquet(os.path.join(self.folder, "sets", f"{nth}-{nth}"))
+        size = lambda g: self._at(g).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        while spans and size(spans[-1]) <= 2 * size(span):
+            both = self._at(spans[-1]).unionByName(self._at(span))
+            span = (spans.pop()[0], nth)
+            both.groupBy("shard").applyInArrow(_union, _BLOCKS).write.mode("overwrite").parquet(os.path.join(self.folder, "sets", f"{span[0]}-{span[1]}"))
+
+
+def _ask(scope: int, names: list[str]):
     def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
         h, batch = column(asked, "h").to_numpy(), column(asked, "_batch").to_numpy()
-        history = _read(blocks)
-        scope = max(1, len(h)) << bits
         own = reduce_hash(h, scope)
-        yes = history.has(reduce_hash(h, history.scope))
-        theory = np.full(len(h), history.rate)
+        yes, theory = np.zeros(len(h), bool), np.zeros(len(h))
+        for stored in _levels(blocks) if len(blocks) else []:
+            yes |= stored.has(own)
+            theory = 1 - (1 - theory) * (1 - stored.rate)
         levels: list[CodedSet] = []
         order = np.argsort(batch, kind="stable")
         cuts = [0, *(np.flatnonzero(np.diff(batch[order])) + 1).tolist(), len(order)]
@@ -187,7 +278,7 @@ def _ask(bits: int, names: list[str]):
                 theory[mine] = 1 - (1 - theory[mine]) * (1 - level.rate)
             fresh = np.unique(own[mine[~yes[mine]]])
             if len(fresh):
-                # sets of one range merge exactly; as in a log-structured tree few of them are kept
+                # as in a log-structured tree few sets are kept
                 while levels and len(levels[-1]) <= 2 * len(fresh):
                     fresh = np.union1d(fresh, levels.pop().values())
                 levels.append(CodedSet.of(fresh, scope))
@@ -196,14 +287,52 @@ def _ask(bits: int, names: list[str]):
     return run
 
 
+def _among(sets: list[CodedSet]):
+    """Mapper: the rows whose hash ``h`` may be in one of the shards' sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch["h"].to_numpy()
+            keep, shard = np.zeros(len(h), bool), h % len(sets)
+            for i, s in enumerate(sets):
+                mine = np.flatnonzero(shard == i)
+                keep[mine] = s.has(reduce_hash(h[mine], s.scope))
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _asked_again(old: DataFrame, maybe: DataFrame, hashed: Column, filter_bytes: int) -> DataFrame:
+    """The rows of history that may have a key which was answered with yes, found where they stand: the hashes of those
+    keys go to the mappers as coded sets of 17 bits a key, as long as these take no more than ``filter_bytes``."""
+    n = maybe.count()
+    if n * 17 // 8 > filter_bytes:
+        return old
+    shards = max(1, -(-n // SHARD_KEYS))
+    scope = max(1, -(-n // shards)) << 12
+    blocks = coded_set(maybe.select(hashed.alias("h")), shards, scope).collect()
+    sets = [CodedSet.of(np.zeros(0, np.int64), scope)] * shards
+    for i in {b["shard"] for b in blocks}:
+        sets[i] = _read(pa.Table.from_pylist([b.asDict() for b in blocks if b["shard"] == i], _arrow_schema()))
+    own = old.withColumn("h", hashed)
+    return own.mapInArrow(_among(sets), own.schema).drop("h")
+
+
+def _arrow_schema() -> pa.Schema:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in _BLOCKS.split(", "))])
+
+
 def seen_pairs(
-    history: DataFrame, intake: DataFrame, keys: list[str], order: str, batch: str, bits: int = BITS, shard_keys: int = SHARD_KEYS
-) -> DataFrame:
+    history: DataFrame, intake: DataFrame, keys: list[str], order: str, batch: str, bits: int = BITS, shard_keys: int = SHARD_KEYS,
+    store: SeenKeys | None = None, filter_bytes: int = FILTER_BYTES,
+) -> DataFrame:
     """Distinct keys of each batch: the keys' columns, ``_batch, _first`` (least ``order``), ``_n`` rows, ``maybe`` (the
     coded sets' answer), ``theory`` (its probability if the key is new) and ``seen`` (verified).
 
-    The batch is asked of the coded history and of coded sets of the earlier batches, to which its new keys
-    are added afterwards. ``seen`` holds a yes against the keys themselves; a no needs no such check.
+    The batch is asked of the stored coded sets and of coded sets of the earlier batches, to which its new keys
+    are added afterwards. ``seen`` holds a yes against the keys themselves; a no needs no such check. Without a
+    ``store`` one is made of ``history``; into one that is given the new keys are appended.
     """
     spark = history.sparkSession
     known = " and ".join(f"{k} is not null" for k in keys)
@@ -215,28 +344,26 @@ def seen_pairs(
         .groupBy(*keys, "_batch")
         .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
     )
-    rows = history.count() + intake.count()
-    shards = max(shuffle_width(spark), -(-rows // shard_keys))
-    blocks = coded_history(old.select(hashed.alias("h")), shards, bits)
-    asked = pairs.withColumn("h", hashed).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    own = store
+    if own is None:
+        # counts of whole tables come from the footers of their files; history and intake together make up to 2 in 2**bits
+        folder = os.path.join(checkpoint_dir(spark), "cairnfold", uuid.uuid4().hex)
+        own = SeenKeys(spark, folder, max(1, history.count(), intake.count()), bits, shard_keys)
+        own.append(old.select(hashed.alias("h")))
+    asked = pairs.withColumn("h", hashed).withColumn("shard", own.shard(F.col("h")))
     names = [*keys, "_batch", "_first", "_n"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*names).schema)
     answered = cut(
-        blocks.groupBy("shard")
+        own.blocks().groupBy("shard")
         .cogroup(asked.groupBy("shard"))
-        .applyInArrow(_ask(bits, names), f"{schema}, maybe boolean, theory double")
-    )
-    since = (
-        old.withColumn("_since", F.lit(-(2**31)))
-        .unionByName(answered.select(*keys, F.col("_batch").alias("_since")))
-        .groupBy(*keys)
-        .agg(F.min("_since").alias("_since"))
+        .applyInArrow(_ask(own.scope, names), f"{schema}, maybe boolean, theory double")
     )
-    checked = answered.where("maybe").join(since, keys).where(F.col("_since") < F.col("_batch"))
-    checked = checked.select(*names, "maybe", "theory", F.lit(True).alias("seen"))
-    # those with a no, and those with a wrong yes
-    rest = answered.join(checked.select(*keys, "_batch"), [*keys, "_batch"], "left_anti")
-    return checked.unionByName(rest.withColumn("seen", F.lit(False)))
+    if store is not None:
+        store.append(answered.where("not maybe").select(hashed.alias("h")))
+    there = _asked_again(old, answered.where("maybe"), hashed, filter_bytes).distinct().withColumn("_old", F.lit(True))
+    earliest = F.min("_batch").over(Window.partitionBy(*keys))
+    seen = F.col("maybe") & (F.coalesce("_old", F.lit(False)) | (earliest < F.col("_batch")))
+    return answered.join(there, keys, "left").select(*names, "maybe", "theory", seen.alias("seen"))
 
 
 def _intake(df: DataFrame, keys: dict[str, str]) -> tuple[DataFrame, list[str]]:
@@ -266,16 +393,20 @@ def seen_before(
     bits: int = BITS,
     shard_keys: int = SHARD_KEYS,
     heavy_share: float = HEAVY_SHARE,
+    store: SeenKeys | None = None,
+    filter_bytes: int = FILTER_BYTES,
 ) -> DataFrame:
     """Distinct ``order`` of the rows of ``intake`` whose key (scope, fp) stands in ``history`` or in a row of
     ``intake`` with a smaller ``order``.
 
     ``batch`` rises with ``order``; a null batch comes last. ``fp`` compares without regard to case; a row
     with a null scope or fp is never seen, nor does it make others so. Repeated rows of one ``order`` do
-    not make each other seen. An empty history leaves repetition within the intake.
+    not make each other seen. An empty history leaves repetition within the intake. With a ``store`` the coded sets
+    are taken from there and the intake's new keys appended; ``history``, all keys it was made from, then only
+    verifies.
     """
     old, new, keys = _prepared(history, intake, scope, fp, order, batch)
-    pairs = cut(seen_pairs(old, new, keys, "_order", "_given", bits, shard_keys).withColumn("_key", F.xxhash64(*keys, "_batch")))
+    pairs = cut(seen_pairs(old, new, keys, "_order", "_given", bits, shard_keys, store, filter_bytes).withColumn("_key", F.xxhash64(*keys, "_batch")))
     total = pairs.agg(F.sum("_n")).first()[0] or 0
     heavy = heavy_keys(pairs, "_key", "_n", total, heavy_share)
     rows = new.withColumn("_batch", F.coalesce(F.col("_given").cast("int"), F.lit(2**31 - 1))).withColumn("_key", F.xxhash64(*keys, "_batch"))
@@ -295,7 +426,8 @@ def audit(
     bits: int = BITS,
     shard_keys: int = SHARD_KEYS,
 ) -> DataFrame:
-    """For each batch: ``batch, questions`` (distinct keys), ``yes, wrong_yes, wrong_no`` (0 by construction, counted),
+    """For each batch: ``batch, questions`` (distinct keys), ``known`` (of these, seen before), ``repeats`` (rows beyond
+    the first of a key within the batch, repeated rows included, which no set is asked for), ``yes, wrong_yes, wrong_no`` (0 by construction, counted),
     ``expected_wrong`` (the theory's sum over keys that were new), ``wrong_rate`` and ``theory_rate`` a new key."""
     old, new, keys = _prepared(history, intake, scope, fp, order, batch)
     pairs = cut(seen_pairs(old, new, keys, "_order", "_given", bits, shard_keys))
@@ -314,6 +446,8 @@ def audit(
         truth.groupBy(F.col("_batch").alias("batch"))
         .agg(
             F.count(F.lit(1)).alias("questions"),
+            n(F.col("old")).alias("known"),
+            F.sum(F.col("_n") - 1).alias("repeats"),
             n(F.col("maybe")).alias("yes"),
             n(F.col("maybe") & new_key).alias("wrong_yes"),
             n(~F.col("maybe") & F.col("old")).alias("wrong_no"),

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairnfold.llm.seen_keys import CodedSet, audit, coded_history, seen_before
+from cairnfold.llm.seen_keys import CodedSet, SeenKeys, audit, coded_set, seen_before
 
 
 @given(st.lists(st.integers(0, 2**20 - 1), max_size=600), st.integers(0, 12))
@@ -93,5 +93,29 @@ def test_audit_counts_wrong_answers(spark):
 
 def test_blocks_hold_each_key_once(spark):
     df = spark.range(5000).selectExpr("xxhash64(id % 1000) as h")
-    blocks = coded_history(df, 3).collect()
+    blocks = coded_set(df, 3, 1000 << 12).collect()
     assert sum(b["count"] for b in blocks) == 1000
+
+
+def test_the_rows_of_history_are_the_same_without_a_filter(spark):
+    history, intake = _data(6)
+    h, c = _frames(spark, history, intake)
+    assert {x.chunk_id for x in seen_before(h, c, filter_bytes=0).collect()} == _truth(history, intake)
+
+
+def test_batches_are_appended_and_merged(spark, tmp_path):
+    history, intake = _data(7)
+    h, c = _frames(spark, history, intake)
+    truth, got = _truth(history, intake), set()
+    store = SeenKeys(spark, str(tmp_path / "keys"), 4000, shard_keys=1500)
+    store.append(h.where("namespace is not null and fp is not null").selectExpr("xxhash64(namespace, lower(fp)) as h").limit(0))
+    seen_before(spark.createDataFrame([], HISTORY), h.selectExpr("row_number() over (order by namespace) as chunk_id", "0 as batch_no", "namespace", "fp"), store=store).count()
+    for low, high in ((0, 3), (3, 4), (4, 20)):
+        own = SeenKeys(spark, str(tmp_path / "keys"))  # as another session opens it
+        assert (own.shards, own.scope) == (store.shards, store.scope)
+        before = h.select("namespace", "fp").union(c.where(f"batch_no < {low}").select("namespace", "fp"))
+        got |= {x.chunk_id for x in seen_before(before, c.where(f"batch_no >= {low} and batch_no < {high}"), store=own).collect()}
+    assert got == truth
+    assert len(store.generations()) < 4
+    rate = sum(b["count"] for b in store.blocks().collect()) / (store.shards * store.scope)
+    assert 0 < rate < 2**-10
