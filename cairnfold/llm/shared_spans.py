@@ -9,22 +9,25 @@ out again, named exactly by sorting, and those that two records hold are marked.
 
 The frequent elements come last in the order that picks minimisers, so that no bucket fills up with
 windows around a frequent element, and windows of nothing but frequent elements are told apart by four
-elements in a row. Equal strings are made one by the mappers. What comes back to the records are the
+elements in a row. A bucket that is too full all the same is split by the content of its windows, which are then told
+apart one by one. Equal strings are made one by the mappers. What comes back to the records are the
 marked ranges of each distinct string.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfold.operators.arrow_groups import binaries, column, ranges, whole_groups
-from cairnfold.operators.skew import HEAVY_SHARE, split_join
+from cairnfold.operators.skew import HEAVY_SHARE, heavy_keys, split_join
 from cairnfold.session import cut, shuffle_width
 
 MIN_BYTES = 1 << 20
@@ -32,10 +35,12 @@ MIN_BYTES = 1 << 20
 PIECE = 1 << 16
 #: Rows that a worker handles at once.
 ROWS = 1 << 18
-#: Up to so many distinct strings with a shared window are broadcast; beyond, only the heavy ones are.
-BROADCAST_STRINGS = 200_000
+#: Bytes of distinct strings with shared ranges that are broadcast; beyond, only the heavy strings are.
+BROADCAST_BYTES = 16 << 20
+#: Distinct strings, counted once for each worker that found them, that a bucket may have; fuller ones are split by window.
+BUCKET_ROWS = 1 << 17
 
-_ELEMENT = np.dtype([("a", "<u8"), ("b", "<u4"), ("len", "<u4")])  # 12 bytes of fingerprint and the length
+_ELEMENT = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("d", "<u8"), ("len", "<u4")])  # fingerprint and length
 _TOP = np.uint64(1 << 63)
 
 
@@ -95,11 +100,13 @@ def _elements(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     run = np.cumsum(step)[known]
     at = keep[known]
     data = b"".join(code.filter(pa.array(known)).to_pylist())
-    raw = np.frombuffer(data, np.dtype([("a", "<u8"), ("b", "<u4")]))
+    raw = np.frombuffer(data, np.dtype([(x, "<u8") for x in "abcd"]))
     el = np.empty(len(raw), _ELEMENT)
     size = size[known].astype(np.int64)
     long = size >= 0xFFFFFFFF
-    el["a"], el["b"] = raw["a"], np.where(long, raw["b"] ^ _mix(size.astype(np.uint64)).astype(np.uint32), raw["b"])
+    for x in "abc":
+        el[x] = raw[x]
+    el["d"] = np.where(long, raw["d"] ^ _mix(size.astype(np.uint64)), raw["d"])
     el["len"] = np.where(long, 0xFFFFFFFF, size)
     return el, np.minimum(size, 0xFFFFFFFF), run, ordinal[known], name.take(pa.array(at))
 
@@ -130,50 +137,53 @@ def _packed(el: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[list[bytes],
     return strings, [xxhash.xxh3_128_digest(x) for x in strings]
 
 
+def _ranked(names: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each name among the distinct ones in order, and these."""
+    own = names.dictionary_encode()
+    order = pc.sort_indices(own.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[own.indices.to_numpy()], own.dictionary.take(pa.array(order))
+
+
+def _least_and_most(at: np.ndarray, k: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lo, hi = np.full(k, np.iinfo(np.int64).max), np.full(k, np.iinfo(np.int64).min)
+    np.minimum.at(lo, at, low)
+    np.maximum.at(hi, at, high)
+    return lo, hi
+
+
 def _strings(least: int, frequent: np.ndarray, rows: int):
-    """Mapper: each distinct string of a worker's rows, with the least and greatest record that has it."""
+    """Mapper: each distinct string of a worker's rows, with the least and greatest record that has it; and, as rows without
+    ``packed``, where each string stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["record", "piece"], rows):
-            el, size, runs, _, name = _elements(t)
+            el, size, runs, ordinal, name = _elements(t)
             s, e, minimiser = _super_kmers(el, size, runs, least, frequent)
             if not len(s):
                 continue
-            record = name.dictionary_encode()
-            hashes = np.array([xxhash.xxh3_64_intdigest(x or "") for x in record.dictionary.to_pylist()], np.uint64).view(np.int64)
-            owner = hashes[record.indices.to_numpy()[s]]
-            strings, _ = _packed(el, s, e)
+            owner, names = _ranked(name.take(pa.array(s)))
+            strings, digest = _packed(el, s, e)
             code = pa.array(strings, pa.binary()).dictionary_encode()
             at, k = code.indices.to_numpy(), len(code.dictionary)
-            lo, hi = np.full(k, np.iinfo(np.int64).max), np.full(k, np.iinfo(np.int64).min)
-            np.minimum.at(lo, at, owner)
-            np.maximum.at(hi, at, owner)
+            lo, hi = _least_and_most(at, k, owner, owner)
             bucket = np.empty(k, np.int64)
             bucket[at] = minimiser.view(np.int64)
             n = np.bincount(at, minlength=k).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), code.dictionary, pa.array(lo), pa.array(hi), pa.array(n)],
-                names=["bucket", "packed", "lo", "hi", "n"],
-            )
+            none = pa.nulls(k)
+            yield _row_batch([pa.array(bucket), code.dictionary, names.take(pa.array(lo)), names.take(pa.array(hi)), pa.array(n), none, none, none])
+            none = pa.nulls(len(s))
+            yield _row_batch([none, none, none, none, none, pa.array(digest, pa.binary()), name.take(pa.array(s)), pa.array(ordinal[s], pa.int64())])
 
     return run
 
 
-def _places(least: int, frequent: np.ndarray, rows: int):
-    """Mapper: where each string stands."""
+_MAPPED = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("lo", pa.string()), ("hi", pa.string()), ("n", pa.int64()), ("string", pa.binary()), ("record", pa.string()), ("start", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["record", "piece"], rows):
-            el, size, runs, ordinal, name = _elements(t)
-            s, e, _ = _super_kmers(el, size, runs, least, frequent)
-            if len(s):
-                _, digest = _packed(el, s, e)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest, pa.binary()), name.take(pa.array(s)), pa.array(ordinal[s], pa.int64())],
-                    names=["string", "record", "start"],
-                )
 
-    return run
+def _row_batch(arrays: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(arrays, _MAPPED.types, strict=True)], schema=_MAPPED)
 
 
 def _names(el: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -197,55 +207,95 @@ def _names(el: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count(least: int):
-    """Bucket: marks the windows that two records hold; ranges of each string as pairs of offsets."""
+def _count(least: int, rows: int):
+    """Buckets: marks the windows that two records hold; ranges of each string as pairs of offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["bucket"], rows):
+            found = _shared_ranges(t, least)
+            if found is not None:
+                yield found
+
+    return run
+
+
+def _cut_out(t: pa.Table, least: int):
+    """Distinct strings, their least and greatest record as ranks, their rows, and all their windows."""
+    code = column(t, "packed").dictionary_encode()
+    at, k = code.indices.to_numpy(), len(code.dictionary)
+    rank, names = _ranked(pa.concat_arrays([column(t, "lo"), column(t, "hi")]))
+    lo, hi = _least_and_most(at, k, rank[: len(t)], rank[len(t) :])
+    n = np.zeros(k, np.int64)
+    np.add.at(n, at, column(t, "n").to_numpy())
+    strings = code.dictionary.to_pylist()
+    lengths = np.array([len(x) for x in strings], np.int64) // _ELEMENT.itemsize
+    el = np.frombuffer(b"".join(strings), _ELEMENT)
+    owner = np.repeat(np.arange(k), lengths)
+    s, e = windows(el["len"].astype(np.int64), owner, least)
+    return strings, lengths, lo, hi, names, n, el, owner, s, e
+
+
+def _shared_ranges(t: pa.Table, least: int) -> pa.RecordBatch | None:
+    strings, lengths, lo, hi, _, n, el, owner, s, e = _cut_out(t, least)
+    if not len(s):
+        return None
+    name = _names(el, s, e)
+    low, high = _least_and_most(name, int(name.max()) + 1, lo[owner[s]], hi[owner[s]])
+    shared = (low < high)[name]
+    s, e = s[shared], e[shared]
+    if not len(s):
+        return None
+    # join the windows of a string that touch; they come sorted
+    base = (np.cumsum(lengths) - lengths)[owner[s]]
+    new = np.ones(len(s), bool)
+    new[1:] = (owner[s[1:]] != owner[s[:-1]]) | (s[1:] > np.maximum.accumulate(e)[:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.r_[head[1:], len(s)] - 1
+    own = owner[s[head]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([xxhash.xxh3_128_digest(strings[i]) for i in own], pa.binary()),
+            pa.array(s[head] - base[head]), pa.array(e[tail] - base[head]), pa.array(n[own]),
+        ],
+        names=["string", "a", "b", "n"],
+    )
+
+
+def _one_by_one(least: int, rows: int):
+    """Every window of the strings on its own: its content's SHA-256, the records and where it stands in the string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if len(b)]
-        if not kept:
-            return
-        t = pa.Table.from_batches(kept).combine_chunks()
-        code = column(t, "packed").dictionary_encode()
-        at, k = code.indices.to_numpy(), len(code.dictionary)
-        lo, hi = np.full(k, np.iinfo(np.int64).max), np.full(k, np.iinfo(np.int64).min)
-        np.minimum.at(lo, at, column(t, "lo").to_numpy())
-        np.maximum.at(hi, at, column(t, "hi").to_numpy())
-        n = np.zeros(k, np.int64)
-        np.add.at(n, at, column(t, "n").to_numpy())
-        strings = code.dictionary.to_pylist()
-        lengths = np.array([len(x) for x in strings]) // _ELEMENT.itemsize
-        el = np.frombuffer(b"".join(strings), _ELEMENT)
-        owner = np.repeat(np.arange(k), lengths)
-        s, e = windows(el["len"].astype(np.int64), owner, least)
-        if not len(s):
-            return
-        name = _names(el, s, e)
-        m = int(name.max()) + 1
-        low, high = np.full(m, np.iinfo(np.int64).max), np.full(m, np.iinfo(np.int64).min)
-        np.minimum.at(low, name, lo[owner[s]])
-        np.maximum.at(high, name, hi[owner[s]])
-        shared = (low < high)[name]
-        s, e = s[shared], e[shared]
-        if not len(s):
-            return
-        # join the windows of a string that touch; they come sorted
-        base = (np.cumsum(lengths) - lengths)[owner[s]]
-        new = np.ones(len(s), bool)
-        new[1:] = (owner[s[1:]] != owner[s[:-1]]) | (s[1:] > np.maximum.accumulate(e)[:-1] + 1)
-        head = np.flatnonzero(new)
-        tail = np.r_[head[1:], len(s)] - 1
-        own = owner[s[head]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([xxhash.xxh3_128_digest(strings[i]) for i in own], pa.binary()),
-                pa.array(s[head] - base[head]), pa.array(e[tail] - base[head]), pa.array(n[own]),
-            ],
-            names=["string", "a", "b", "n"],
-        )
+        for batch in batches:
+            for i in range(0, len(batch), rows):
+                t = pa.Table.from_batches([batch.slice(i, rows)]).combine_chunks()
+                strings, lengths, lo, hi, names, n, el, owner, s, e = _cut_out(t, least)
+                data, width = el.tobytes(), _ELEMENT.itemsize
+                own = owner[s]
+                base = (np.cumsum(lengths) - lengths)[own]
+                digests = [xxhash.xxh3_128_digest(x) for x in strings]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([hashlib.sha256(data[a * width : (b + 1) * width]).digest() for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.binary()),
+                        names.take(pa.array(lo[own])), names.take(pa.array(hi[own])),
+                        pa.array([digests[i] for i in own.tolist()], pa.binary()), pa.array(s - base), pa.array(e - base), pa.array(n[own]),
+                    ],
+                    names=["window", "lo", "hi", "string", "a", "b", "n"],
+                )
 
     return run
 
 
+def _split_by_window(strings: DataFrame, least: int, heavy_share: float) -> DataFrame:
+    """The same as ``_count`` for strings of buckets that are too full: windows meet by the digest of their content."""
+    schema = "window binary, lo string, hi string, string binary, a bigint, b bigint, n bigint"
+    each = cut(strings.mapInArrow(_one_by_one(least, 1024), schema).withColumn("key", F.xxhash64("window")))
+    met = each.groupBy("key", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("m"))
+    shared = cut(met.where("lo < hi").select("key", "window", "m"))
+    total = each.count()
+    heavy = heavy_keys(shared, "key", "m", total, heavy_share)
+    return split_join(each, shared.drop("m"), ["window"], "key", heavy).select("string", "a", "b", "n")
+
+
 def _pieces(rows: DataFrame, least: int, piece: int) -> DataFrame:
     """Adds the number of the piece; of a record in several pieces each piece also gets the rows of the
     following ones, as far as a span of ``least`` from its last element can reach."""
@@ -254,22 +304,22 @@ def _pieces(rows: DataFrame, least: int, piece: int) -> DataFrame:
     if longest is None or longest < piece:
         return own
     sizes = own.groupBy("record", "piece").agg(F.sum(F.greatest("size", F.lit(0))).alias("bytes"))
-    later = sizes.alias("x").join(sizes.alias("y"), (F.col("x.record") == F.col("y.record")) & (F.col("y.piece") > F.col("x.piece")))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("record", "from").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        later.select("x.record", F.col("x.piece").alias("from"), "y.piece", "y.bytes")
-        .withColumn("between", F.coalesce(F.sum("bytes").over(w), F.lit(0)))
-        .where(F.col("between") < least)
-        .select("record", "piece", "from")
-    )
+    # a piece that is missing ends every run, so pieces in a row are looked at only
+    row = Window.partitionBy("record").orderBy("piece")
+    sizes = sizes.withColumn("island", F.col("piece") - F.row_number().over(row))
+    row = Window.partitionBy("record", "island").orderBy("piece")
+    before = F.coalesce(F.sum("bytes").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    sizes = sizes.withColumn("before", before).withColumn("previous", F.lag("piece").over(row))
+    # the piece ``from`` needs this one if what lies between has less than ``least`` bytes
+    reach = Window.partitionBy("record", "island").orderBy("before").rangeBetween(-(least - 1), Window.currentRow)
+    wanted = sizes.withColumn("first", F.min("previous").over(reach)).where(F.col("first") < F.col("piece"))
+    wanted = wanted.select("record", "piece", F.explode(F.sequence("first", F.col("piece") - 1)).alias("from"))
     copies = own.join(wanted, ["record", "piece"]).withColumn("piece", F.col("from")).drop("from")
     return own.unionByName(copies)
 
 
 def frequent_elements(rows: DataFrame, share: float) -> list[bytes]:
-    """Fingerprint prefixes that may hold ``share`` of the rows, at most ``2 / share``, from one mergeable
+    """Fingerprints that may hold ``share`` of the rows, at most ``2 / share``, from one mergeable
     frequent-items sketch. They steer the balance only; no result depends on them."""
     k = int(2 / share)
     top = rows.where(F.col("code").isNotNull()).agg(F.call_function("approx_top_k", F.hex("code"), F.lit(k), F.lit(max(4 * k, 1024))).alias("top"))
@@ -287,7 +337,8 @@ def shared_spans(
     piece: int = PIECE,
     rows: int = ROWS,
     heavy_share: float = HEAVY_SHARE,
-    broadcast_strings: int = BROADCAST_STRINGS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Distinct ``record, ordinal`` of every element in a span of at least ``min_bytes`` that also stands in
     another record.
@@ -295,15 +346,15 @@ def shared_spans(
     A null or negative length, a null fingerprint and a gap in ``ordinal`` end a run; rows with a null
     record or ordinal belong to none. Of rows with the same record and ordinal one counts. Fingerprints
     compare without regard to case. A span that only repeats within its own record is not shared. Records
-    may be of any length. Elements are told apart by 96 bits of the fingerprint and the length, records
-    by 64 bits of their name's hash. Needs ``1 <= min_bytes < 2**32 - 1``. An empty table gives no rows.
+    may be of any length. Elements are told apart by the whole fingerprint (by SHA-256 of one that is not 64
+    hex digits) and the length, records by their names. Needs ``1 <= min_bytes < 2**32 - 1``. An empty table gives no rows.
     """
     if not 1 <= min_bytes < 0xFFFFFFFF:
         raise ValueError("min_bytes must lie between 1 and 2**32 - 2")
     spark = entries.sparkSession
     low = F.lower(F.col(fp).cast("string"))
-    raw = F.when(F.length(low) == 64, F.try_to_binary(F.substring(low, 1, 24), F.lit("hex")))
-    code = F.coalesce(raw, F.unhex(F.substring(F.sha2(low, 256), 1, 24)))
+    raw = F.when(F.length(low) == 64, F.try_to_binary(low, F.lit("hex")))
+    code = F.coalesce(raw, F.unhex(F.sha2(low, 256)))
     own = entries.where(F.col(record).isNotNull() & F.col(ordinal).isNotNull()).select(
         F.col(record).cast("string").alias("record"), F.col(ordinal).cast("bigint").alias("ordinal"),
         code.alias("code"), F.col(size).cast("bigint").alias("size"),
@@ -311,21 +362,28 @@ def shared_spans(
     frequent = np.array([int.from_bytes(x[:8], "little") for x in frequent_elements(own, heavy_share)], np.uint64)
     width = shuffle_width(spark)
     dealt = _pieces(own, min_bytes, piece).repartition(width, "record", "piece").sortWithinPartitions("record", "piece", "ordinal")
-    strings = dealt.mapInArrow(_strings(min_bytes, frequent, rows), "bucket bigint, packed binary, lo bigint, hi bigint, n bigint")
+    mapped = "bucket bigint, packed binary, lo string, hi string, n bigint, string binary, record string, start bigint"
+    mapped = cut(dealt.mapInArrow(_strings(min_bytes, frequent, rows), mapped))
+    strings = mapped.where("packed is not null").select("bucket", "packed", "lo", "hi", "n")
+    # at most one bucket in ``bucket_rows`` strings is too full for one worker
+    full = cut(strings.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket"))
+    ranges_of = "string binary, a bigint, b bigint, n bigint"
+    usual = strings.join(F.broadcast(full), "bucket", "left_anti").repartition(width, "bucket").sortWithinPartitions("bucket")
+    found = usual.mapInArrow(_count(min_bytes, bucket_rows), ranges_of)
+    if not full.isEmpty():
+        hot = strings.join(F.broadcast(full), "bucket", "left_semi")
+        found = found.unionByName(_split_by_window(hot, min_bytes, heavy_share))
     marked = cut(
-        strings.repartition(width, "bucket")
-        .mapInArrow(_count(min_bytes), "string binary, a bigint, b bigint, n bigint")
-        .groupBy("string")
+        found.groupBy("string")
         .agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.max("n").alias("n"))
         .withColumn("key", F.xxhash64("string"))
     )
-    places = dealt.mapInArrow(_places(min_bytes, frequent, rows), "string binary, record string, start bigint")
-    places = places.withColumn("key", F.xxhash64("string"))
+    places = mapped.where("record is not null").select("string", "record", "start").withColumn("key", F.xxhash64("string"))
     known = marked.drop("n")
-    if marked.count() <= broadcast_strings:
+    total, wide = marked.agg(F.sum("n"), F.sum(F.size("spans") * 16 + 40)).first()
+    if (wide or 0) <= broadcast_bytes:
         met = places.join(F.broadcast(known), ["key", "string"])
     else:
-        total = marked.agg(F.sum("n")).first()[0]
         top = marked.where(F.col("n") >= max(2, int(total * heavy_share))).select("key").collect()
         met = split_join(places, known, ["string"], "key", [r[0] for r in top])
     return (

@@ -66,10 +66,10 @@ def _rows(seed, n_manifests=12, length=30):
 
 
 @pytest.mark.parametrize("least", [1, 20, 60])
-@pytest.mark.parametrize(("piece", "rows", "strings"), [(1 << 16, 1 << 18, 10**6), (7, 40, 0)])
-def test_spans_against_all_pairs(spark, least, piece, rows, strings):
+@pytest.mark.parametrize(("piece", "rows", "byte_limit", "bucket_rows"), [(1 << 16, 1 << 18, 10**6, 10**6), (7, 40, 0, 10**6), (7, 40, 0, 2)])
+def test_spans_against_all_pairs(spark, least, piece, rows, byte_limit, bucket_rows):
     data = _rows(least + piece % 5)
-    got = shared_spans(_frame(spark, data), least, piece=piece, rows=rows, broadcast_strings=strings).collect()
+    got = shared_spans(_frame(spark, data), least, piece=piece, rows=rows, broadcast_bytes=byte_limit, bucket_rows=bucket_rows).collect()
     assert len(got) == len({tuple(x) for x in got})
     assert {(x.record, x.ordinal) for x in got} == _truth(data, least)
 
@@ -80,6 +80,12 @@ def test_long_chunks_count_alone(spark):
     assert {x.record for x in shared_spans(_frame(spark, data)).collect()} == {"a", "b"}
 
 
+def test_fingerprints_count_in_full(spark):
+    a, b = "ab" * 31 + "00", "ab" * 31 + "01"  # 248 equal bits
+    data = [("m", 0, a, 30), ("n", 0, b, 30), ("o", 4, b.upper(), 30)]
+    assert {x.record for x in shared_spans(_frame(spark, data), 20).collect()} == {"n", "o"}
+
+
 def test_repetition_within_one_record_is_not_shared(spark):
     f = "cd" * 32
     data = [("a", i, f, 10) for i in range(50)]
