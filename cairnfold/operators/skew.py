@@ -61,3 +61,19 @@ def split_join(
     a = rows.where(is_heavy).join(F.broadcast(lookup.where(is_heavy)), names, how)
     b = rows.where(~is_heavy).join(lookup.where(~is_heavy), names, how)
     return a.unionByName(b)
+
+
+def salted_join(a: DataFrame, b: DataFrame, on: Sequence[str], key: str, heavy: Sequence[int], salts: int = 16) -> DataFrame:
+    """Inner join of two sides that may both have many rows of a heavy key.
+
+    Rows of ``a`` with a heavy key are dealt to ``salts`` parts by a hash of the whole row, those of ``b``
+    are repeated for each part, so that a key's pairs are made by that many tasks. All other rows are joined as they
+    are. ``key`` is the bigint hash of ``on``, and may be the only column of it.
+    """
+    names = list(dict.fromkeys([key, *on]))
+    if not heavy:
+        return a.join(b, names)
+    is_heavy = F.coalesce(F.col(key).isin([int(h) for h in heavy]), F.lit(False))
+    dealt = a.where(is_heavy).withColumn("_salt", F.pmod(F.xxhash64(*a.columns), F.lit(salts)).cast("int"))
+    repeated = b.where(is_heavy).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.where(~is_heavy).join(b.where(~is_heavy), names).unionByName(dealt.join(repeated, [*names, "_salt"]).drop("_salt"))
