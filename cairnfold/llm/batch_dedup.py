@@ -11,14 +11,17 @@ the sets themselves the similarity.
 Elements of very many records are left out of the wide fingerprint (which cannot add a difference), as
 blocks of nothing else would be shared by all. As the blocks without a difference may be empty in both,
 records are also looked up by the elements of a prefix under one global order, of which similar sets
-always share one; frequent elements stand last in it. New records are appended to the tables; nothing about history is made anew.
+always share one; frequent elements stand last in it. The few pairs left are compared by the elements themselves.
+New records are appended to the tables (``BatchIndex``); nothing about history is made anew.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfold.operators.arrow_groups import column
-from cairnfold.operators.skew import HEAVY_SHARE, heavy_keys, key_hash, split_join
-from cairnfold.session import cut
+from cairnfold.operators.skew import HEAVY_SHARE, heavy_keys, key_hash, salted_join, split_join
+from cairnfold.session import checkpoint_dir, cut, shuffle_width
 
 LEAST = 0.7
 ROTATIONS = 3
 #: At most so many frequent elements are left out of the block tables.
-FREQUENT = 20_000
+FREQUENT = 1 << 20
+#: Batches of one delivery.
+BATCHES = 16
 _STEP = 1.15
 
 
@@ -148,19 +153,28 @@ _SIGNATURE = "key bigint, cid bigint, n int, f1 bigint, f2 bigint, batch int"
 
 
 def members(elements: DataFrame) -> DataFrame:
-    """``scope, obj, batch, codes`` and the class ``cid, cid2`` of equal sets, from rows
-    ``scope, obj, batch, element``. Null elements, objects or scopes are left out. An object that comes with
-    several batches belongs to the first."""
+    """Sets from rows ``scope, obj, batch, element``. Null elements, objects or scopes are left out. An object that
+    comes with several batches belongs to the first. An element is any text, or binary."""
     own = elements.where("scope is not null and obj is not null and element is not null")
-    sets = own.groupBy("scope", "obj").agg(
-        F.min("batch").cast("int").alias("batch"), F.array_sort(F.collect_set(F.xxhash64("element"))).alias("codes")
-    )
-    return sets.withColumn("cid", F.xxhash64("scope", "codes")).withColumn("cid2", F.xxhash64("codes", F.lit(1), "scope"))
+    own = own.withColumn("element", F.col("element").cast("string"))
+    return identified(own.groupBy("scope", "obj").agg(F.min("batch").cast("int").alias("batch"), F.collect_set("element").alias("elements")))
+
+
+def identified(sets: DataFrame) -> DataFrame:
+    """``scope, obj, batch, elements``, sorted, with ``codes``, the elements' 64-bit hashes that fingerprints are made of, and
+    the class of equal sets: ``cid2``, SHA-256 of scope and elements, and ``cid``, its hash. Empty sets are left out."""
+    sets = sets.where(F.size("elements") > 0).withColumn("elements", F.array_sort("elements"))
+    whole = F.array_join(F.transform("elements", lambda e: F.concat(F.octet_length(e).cast("string"), F.lit(":"), e)), "")
+    digest = F.unhex(F.sha2(F.concat_ws(":", F.octet_length("scope").cast("string"), "scope", whole).cast("binary"), 256))
+    sets = sets.withColumn("codes", F.array_sort(F.array_distinct(F.transform("elements", lambda e: F.xxhash64(e)))))
+    sets = sets.withColumn("cid2", digest)
+    return sets.select("scope", "obj", "batch", "elements", "codes", F.xxhash64("cid2").alias("cid"), "cid2")
 
 
 def classes(sets: DataFrame) -> DataFrame:
     """One row for each class of equal sets, with its first and its last batch."""
-    return sets.groupBy("cid", "cid2", "scope", "codes").agg(F.min("batch").alias("first"), F.max("batch").alias("last"))
+    each = sets.groupBy("cid", "cid2").agg(F.min("batch").alias("first"), F.max("batch").alias("last"), F.min("obj").alias("obj"))
+    return each.join(sets.select("cid", "cid2", "scope", "obj", "elements", "codes").distinct(), ["cid", "cid2", "obj"]).drop("obj")
 
 
 def frequent_elements(sets: DataFrame, most: int = FREQUENT) -> np.ndarray:
@@ -181,55 +195,160 @@ def signatures(table: DataFrame, frequent: np.ndarray, batch: str, probe: bool,
     return own.mapInArrow(_signatures(least, frequent, probe), _SIGNATURE)
 
 
-def candidate_pairs(stored: DataFrame, looked_up: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs of classes with an equal block whose folded fingerprints are near enough: ``a, b``."""
+def candidate_pairs(stored: DataFrame, looked_up: DataFrame, least: float = LEAST, heavy: Sequence[int] = ()) -> DataFrame:
+    """Pairs of classes with an equal block whose folded fingerprints are near enough: ``a, b``. ``heavy``: keys of so many
+    stored rows that their pairs are made by several tasks."""
     s = stored.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("batch").alias("ba"))
     p = looked_up.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("batch").alias("bb"))
     total = F.col("na") + F.col("nb")
     distance = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     near = distance <= F.floor(F.lit((1 - least) / (1 + least)) * total + 1e-9)
     sizes = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
-    return s.join(p, "key").where((F.col("ba") < F.col("bb")) & sizes & near).select("a", "b").distinct()
+    return salted_join(s, p, ["key"], "key", heavy).where((F.col("ba") < F.col("bb")) & sizes & near).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs of classes of one scope whose sets have the similarity: ``a, a2, b, b2, similarity``."""
-    a = left.select(F.col("cid").alias("a"), F.col("cid2").alias("a2"), F.col("scope").alias("sa"), F.col("codes").alias("ca"))
-    b = right.select(F.col("cid").alias("b"), F.col("cid2").alias("b2"), F.col("scope").alias("sb"), F.col("codes").alias("cb"))
+    """Pairs of classes of one scope whose sets, compared by their elements themselves, have the similarity:
+    ``a, a2, b, b2, similarity``."""
+    a = left.select(F.col("cid").alias("a"), F.col("cid2").alias("a2"), F.col("scope").alias("sa"), F.col("elements").alias("ea"))
+    b = right.select(F.col("cid").alias("b"), F.col("cid2").alias("b2"), F.col("scope").alias("sb"), F.col("elements").alias("eb"))
     both = pairs.join(a, "a").join(b, "b").where("sa = sb")
-    common = F.size(F.array_intersect("ca", "cb"))
-    total = F.size("ca") + F.size("cb") - common
+    common = F.size(F.array_intersect("ea", "eb"))
+    total = F.size("ea") + F.size("eb") - common
     out = both.withColumn("common", common).withColumn("total", total).where(F.col("common") >= F.lit(least) * F.col("total") - 1e-9)
     return out.select("a", "a2", "b", "b2", (F.col("common") / F.col("total")).alias("similarity"))
 
 
-def class_links(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """``a, a2, b, b2, similarity``: classes of which ``b`` has a member in a later batch than some member of
-    ``a``; a class is linked with itself where its copies arrive in different batches."""
-    table = cut(classes(sets))
-    frequent = frequent_elements(table)
-    stored = signatures(table, frequent, "first", False, least)
-    looked = signatures(table.where(F.col("last") > 0), frequent, "last", True, least)
-    pairs = candidate_pairs(stored, looked, least)
-    return verified(pairs, table, table, least)
+_CLASS = "cid bigint, cid2 binary, scope string, elements array<string>"
+_MEMBER = "cid bigint, cid2 binary, obj bigint, batch int"
+
+
+class BatchIndex:
+    """Block tables, sets and members of everything accepted, in a folder; each delivery, of one batch or some, is
+    looked up and appended, and nothing about history is made anew.
+
+    The block table is bucketed by block key, sets and members by class, so that a delivery's rows are shuffled to
+    where history lies and history is not. ``append`` writes the rows of new classes only. The frequent elements are
+    those of the first delivery appended (history), kept in the folder, so that stored and looked-up keys agree;
+    elements that become frequent later make full buckets, whose pairs several tasks share, and a new index from time
+    to time. Batches must be numbered in the order in which they come.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, least: float = LEAST, buckets: int | None = None):
+        self.spark, self.folder, self.least = spark, folder, least
+        if not self._exists("buckets"):
+            spark.createDataFrame([(buckets or shuffle_width(spark), least)], "n int, least double").coalesce(1).write.parquet(self._path("buckets"))
+        self.buckets, self.least = spark.read.parquet(self._path("buckets")).first()
+
+    def _path(self, name: str) -> str:
+        return os.path.join(self.folder, name)
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self._path(name), "_SUCCESS"))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _name(self, name: str) -> str:
+        return f"cairnfold_{name}_{hashlib.md5(self.folder.encode()).hexdigest()}"
 
+    def table(self, name: str) -> DataFrame:
+        """A stored table: ``blocks``, ``sets`` or ``members``."""
+        schema, key = {"blocks": (_SIGNATURE, "key"), "sets": (_CLASS, "cid"), "members": (_MEMBER, "cid")}[name]
+        if not self._exists(name):
+            return self.spark.createDataFrame([], schema)
+        if not self.spark.catalog.tableExists(self._name(name)):
+            self.spark.sql(f"CREATE TABLE {self._name(name)} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self._path(name)}'")
+        return self.spark.table(self._name(name))
+
+    def _write(self, df: DataFrame, name: str, key: str) -> None:
+        self.table(name)  # known to this session
+        writer = df.repartition(self.buckets, key).write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, key).mode("append")
+        writer.option("path", self._path(name)).saveAsTable(self._name(name))
+
+    def _frequent(self, sets: DataFrame | None = None) -> np.ndarray:
+        if self._exists("frequent"):
+            return np.array([r[0] for r in self.spark.read.parquet(self._path("frequent")).collect()], np.int64).view(np.uint64)
+        if sets is None:
+            return np.zeros(0, np.uint64)
+        found = frequent_elements(sets)
+        self.spark.createDataFrame([(int(x),) for x in found.view(np.int64)], "code bigint").coalesce(1).write.parquet(self._path("frequent"))
+        return found
 
-def near_duplicates(elements: DataFrame, least: float = LEAST) -> DataFrame:
+    def append(self, elements: DataFrame) -> None:
+        self.append_sets(cut(members(elements)))
+
+    def append_sets(self, sets: DataFrame) -> DataFrame:
+        """Writes members, and sets and blocks of classes that are new; returns the delivery's classes."""
+        table = cut(classes(sets))
+        frequent = self._frequent(table)
+        new = table
+        if self._exists("sets"):
+            new = cut(table.join(self.table("sets").select("cid", "cid2"), ["cid", "cid2"], "left_anti"))
+        self._write(signatures(new, frequent, "first", False, self.least), "blocks", "key")
+        self._write(new.select("cid", "cid2", "scope", "elements"), "sets", "cid")
+        self._write(sets.select("cid", "cid2", "obj", "batch"), "members", "cid")
+        return table
+
+    def links(self, table: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+        """``a, a2, b, b2, similarity``: stored classes ``a`` that begin in an earlier batch than the last of ``b`` in ``table``."""
+        stored = self.table("blocks")
+        counts = stored.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        total = stored.count()
+        heavy = heavy_keys(counts.where(F.col("n") >= max(2, int(total * heavy_share))), "key", "n", total, heavy_share)
+        looked = signatures(table, self._frequent(), "last", True, self.least)
+        pairs = cut(candidate_pairs(stored, looked, self.least, heavy))
+        return verified(pairs, self.table("sets"), table, self.least)
+
+    def check(self, elements: DataFrame) -> DataFrame:
+        """``obj_a, obj_b, similarity`` of a batch's objects with those stored; writes nothing."""
+        sets = cut(members(elements))
+        return expand(self.links(cut(classes(sets))), self.table("members"), sets.select("cid", "cid2", "obj", "batch"))
+
+    def accept(self, sets: DataFrame) -> DataFrame:
+        """Appends a delivery of sets as ``members`` gives them and returns the links of its classes with everything in an
+        earlier batch, those of the delivery included."""
+        table = self.append_sets(sets)
+        return cut(self.links(table))
+
+
+def deliver(sets: DataFrame, least: float = LEAST, at_once: int = BATCHES, folder: str | None = None) -> tuple[DataFrame, BatchIndex]:
+    """All links of sets with ``batch`` 0 (history, which is appended only) and later ones, accepted in their order, up
+    to ``at_once`` batches a delivery; and the index."""
+    spark = sets.sparkSession
+    index = BatchIndex(spark, folder or os.path.join(checkpoint_dir(spark), "cairnfold", uuid.uuid4().hex), least)
+    batches = [r[0] for r in sets.where("batch > 0").select("batch").distinct().orderBy("batch").collect()]
+    index.append_sets(sets.where("batch <= 0"))
+    links = spark.createDataFrame([], "a bigint, a2 binary, b bigint, b2 binary, similarity double")
+    for i in range(0, len(batches), at_once):
+        own = batches[i : i + at_once]
+        links = links.unionByName(index.accept(sets.where(F.col("batch").between(own[0], own[-1]))))
+    return links.distinct(), index
+
+
+def near_duplicates(elements: DataFrame, least: float = LEAST, at_once: int = BATCHES) -> DataFrame:
     """Pairs ``obj_a, obj_b, similarity``: ``obj_b`` of batch 1 or later is a near-duplicate of ``obj_a`` of a
     smaller batch (0: history) in the same scope: their sets of elements have at least ``least`` of their
     union in common. Sets without a known element are like nothing. Equal sets are one class until here, so
     that a group of copies is compared once; the expansion to pairs of objects is what is asked for.
     """
-    sets = cut(members(elements))
-    links = cut(class_links(sets, least))
-    return expand(links, sets)
+    return near_duplicate_sets(cut(members(elements)), least, at_once)
+
 
+def near_duplicate_sets(sets: DataFrame, least: float = LEAST, at_once: int = BATCHES) -> DataFrame:
+    """The same from sets as ``identified`` gives them."""
+    links, index = deliver(sets, least, at_once)
+    own = index.table("members")
+    return expand(links, own, own.where("batch > 0"))
 
-def expand(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of objects from links of classes."""
-    a = sets.select(F.col("cid").alias("a"), F.col("cid2").alias("a2"), F.col("obj").alias("obj_a"), F.col("batch").alias("batch_a"))
-    b = sets.where(F.col("batch") > 0).select(F.col("cid").alias("b"), F.col("cid2").alias("b2"), F.col("obj").alias("obj_b"), F.col("batch").alias("batch_b"))
-    out = links.join(a, ["a", "a2"]).join(b, ["b", "b2"]).where("batch_a < batch_b")
+
+def expand(links: DataFrame, earlier: DataFrame, later: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """Pairs of objects from links of classes and the members of these. A class with a large part of all members is
+    dealt to several tasks on either side."""
+    a = earlier.select(F.col("cid").alias("a"), F.col("cid2").alias("a2"), F.col("obj").alias("obj_a"), F.col("batch").alias("batch_a"))
+    b = later.select(F.col("cid").alias("b"), F.col("cid2").alias("b2"), F.col("obj").alias("obj_b"), F.col("batch").alias("batch_b"))
+    each = earlier.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    heavy = heavy_keys(each, "cid", "n", earlier.count(), heavy_share)
+    out = salted_join(a, links, ["a2"], "a", heavy)
+    out = salted_join(out, b, ["b2"], "b", heavy).where((F.col("batch_a") < F.col("batch_b")) & (F.col("obj_a") != F.col("obj_b")))
     return out.select("obj_a", "obj_b", "similarity")
 
 
@@ -237,8 +356,13 @@ def upload_links(elements: DataFrame, least: float = LEAST) -> DataFrame:
     """One row for each object of batch 1 or later: ``obj, batch, class_id`` (the least object of its class of
     equal sets), ``copies`` (earlier objects with an equal set) and ``links`` (earlier objects that are
     near-duplicates, copies included). Counted from classes, without making the pairs."""
-    sets = cut(members(elements))
-    links = cut(class_links(sets, least))
+    return set_links(cut(members(elements)), least)
+
+
+def set_links(sets: DataFrame, least: float = LEAST, at_once: int = BATCHES) -> DataFrame:
+    """The same from sets as ``identified`` gives them."""
+    links = deliver(sets, least, at_once)[0]
+    sets = sets.select("cid", "cid2", "obj", "batch")
     own = sets.groupBy("cid", "cid2", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("obj").alias("least_obj"))
     ids = own.groupBy("cid", "cid2").agg(F.min("least_obj").alias("class_id"))
     uploads = own.where(F.col("batch") > 0).select(F.col("cid").alias("b"), F.col("cid2").alias("b2"), F.col("batch").alias("to"))
@@ -281,51 +405,6 @@ def chunk_verdicts(chunks: DataFrame, history: DataFrame, index: DataFrame, heav
     return met.select("chunk_id", seen.alias("deduped"), F.col("at").alias("dcid")).distinct()
 
 
-class BatchIndex:
-    """Block tables and sets of everything accepted, in a folder; each batch is looked up and appended.
-
-    ``check`` reads, of what is stored, the rows with a block that the batch has, and writes nothing;
-    ``append`` writes the batch's rows only. The frequent elements are those of the first batch appended
-    (history), kept in the folder, so that all rows agree.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, least: float = LEAST):
-        self.spark, self.folder, self.least = spark, folder, least
-
-    def _path(self, name: str) -> str:
-        return os.path.join(self.folder, name)
-
-    def _frequent(self, sets: DataFrame | None = None) -> np.ndarray:
-        try:
-            rows = self.spark.read.parquet(self._path("frequent")).collect()
-            return np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        except Exception:  # noqa: BLE001  there is no such folder yet
-            if sets is None:
-                return np.zeros(0, np.uint64)
-            found = frequent_elements(sets)
-            rows = [(int(x),) for x in found.view(np.int64)]
-            self.spark.createDataFrame(rows, "code bigint").write.parquet(self._path("frequent"))
-            return found
-
-    def check(self, elements: DataFrame) -> DataFrame:
-        """``obj_a, obj_b, similarity`` of the batch's objects with those stored."""
-        sets = cut(members(elements))
-        table = sets.select("cid", "cid2", "scope", "codes").distinct()
-        stored = self.spark.read.schema(_SIGNATURE).parquet(self._path("blocks"))
-        looked = signatures(table.withColumn("last", F.lit(1)), self._frequent(), "last", True, self.least)
-        pairs = candidate_pairs(stored.withColumn("batch", F.lit(0)), looked, self.least)
-        old = self.spark.read.parquet(self._path("sets"))
-        links = verified(pairs, old.select("cid", "cid2", "scope", "codes").distinct(), table, self.least)
-        both = old.withColumn("batch", F.lit(0)).unionByName(sets.withColumn("batch", F.lit(1)))
-        return expand(links, both).where("obj_a <> obj_b")
-
-    def append(self, elements: DataFrame) -> None:
-        sets = cut(members(elements))
-        table = sets.select("cid", "cid2", "scope", "codes").distinct().withColumn("first", F.lit(0))
-        signatures(table, self._frequent(sets), "first", False, self.least).write.mode("append").parquet(self._path("blocks"))
-        sets.write.mode("append").parquet(self._path("sets"))
-
-
 def similar_blocks(n: int, least: float = LEAST) -> int:
     """Number of blocks of the size class of sets of ``n`` elements."""
     ladder = Ladder(least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfold.llm.batch_dedup import chunk_verdicts, near_duplicates, upload_links
+from cairnfold.llm.batch_dedup import chunk_verdicts, identified, near_duplicate_sets, set_links
 from cairnfold.llm.container_packing import fill_report, pack
 from cairnfold.llm.encoding_repair import damaged_documents, restored_documents
 from cairnfold.llm.seen_keys import audit, seen_before
@@ -37,26 +37,27 @@ def p3_sharing(spark: SparkSession, d: str) -> DataFrame:
     return sharing_report(table(spark, d, "manifest_entries")).withColumnRenamed("record", "manifest_id")
 
 
-def _elements(spark: SparkSession, d: str) -> DataFrame:
-    """Committed objects as batch 0 and the uploads of all batches; elements as the 64 bits the operator keeps of them."""
-    code = F.when(F.col("fp").isNotNull(), F.xxhash64(F.lower("fp"))).alias("element")
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    """Committed objects as batch 0 and the uploads of all batches, each with the set of its fingerprints' bytes."""
+    low = F.lower("fp")
+    raw = F.coalesce(F.when(F.length(low) == 64, F.try_to_binary(low, F.lit("hex"))), F.encode(low, "UTF-8"))
+    own = F.collect_set(raw.cast("string")).alias("elements")
     entries, objects = table(spark, d, "manifest_entries"), table(spark, d, "objects")
-    own = entries.where("fp is not null").select("manifest_id", code).distinct()
-    named = objects.where("manifest_id is not null").select("manifest_id", F.col("namespace").alias("scope"), F.col("obj_seq").alias("obj")).distinct()
-    history = own.join(named, "manifest_id").select("scope", "obj", F.lit(0).alias("batch"), "element")
-    uploads = table(spark, d, "chunks").select(
-        F.col("namespace").alias("scope"), F.col("obj_seq").alias("obj"), F.col("batch_no").alias("batch"), code
-    )
-    return history.unionByName(uploads)
+    named = objects.where("manifest_id is not null and namespace is not null and obj_seq is not null")
+    named = named.select("manifest_id", F.col("namespace").alias("scope"), F.col("obj_seq").alias("obj")).distinct()
+    history = entries.groupBy("manifest_id").agg(own).join(named, "manifest_id").select("scope", "obj", F.lit(0).alias("batch"), "elements")
+    uploads = table(spark, d, "chunks").where("namespace is not null and obj_seq is not null")
+    uploads = uploads.groupBy(F.col("namespace").alias("scope"), F.col("obj_seq").alias("obj")).agg(F.min("batch_no").cast("int").alias("batch"), own)
+    return cut(identified(history.unionByName(uploads)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = near_duplicates(_elements(spark, d)).select(F.least("obj_a", "obj_b").alias("obj_a"), F.greatest("obj_a", "obj_b").alias("obj_b"))
+    pairs = near_duplicate_sets(_sets(spark, d)).select(F.least("obj_a", "obj_b").alias("obj_a"), F.greatest("obj_a", "obj_b").alias("obj_b"))
     return pairs.distinct()
 
 
 def p4_uploads(spark: SparkSession, d: str) -> DataFrame:
-    return upload_links(_elements(spark, d)).select(F.col("obj").alias("obj_seq"), F.col("batch").alias("batch_no"), "class_id", "copies", "links")
+    return set_links(_sets(spark, d)).select(F.col("obj").alias("obj_seq"), F.col("batch").alias("batch_no"), "class_id", "copies", "links")
 
 
 def p4_chunks(spark: SparkSession, d: str) -> DataFrame:

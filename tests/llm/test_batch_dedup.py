@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cairnfold.llm import batch_dedup
 from cairnfold.llm.batch_dedup import BatchIndex, Ladder, chunk_verdicts, near_duplicates, upload_links
@@ -87,6 +88,52 @@ def test_batch_by_batch_gives_the_same(spark, tmp_path):
     assert got == _truth(sets)
 
 
+def test_deliveries_of_any_size_give_the_same(spark):
+    sets = _sets(8, 120)
+    for at_once in (1, 2):
+        assert {(x.obj_a, x.obj_b) for x in near_duplicates(_frame(spark, sets), at_once=at_once).collect()} == _truth(sets)
+
+
+def test_history_is_not_shuffled_and_opens_again(spark, tmp_path):
+    sets = _sets(9, 100)
+    folder = str(tmp_path / "index")
+    index = BatchIndex(spark, folder, buckets=3)
+    index.append(_frame(spark, [x for x in sets if x[2] < 3]))
+    for name in ("blocks", "sets", "members"):
+        spark.sql(f"DROP TABLE {index._name(name)}")  # another session knows the folder only
+    index = BatchIndex(spark, folder)
+    batch = _frame(spark, [x for x in sets if x[2] == 3])
+    assert {(x.obj_a, x.obj_b) for x in index.check(batch).collect()} == {p for p in _truth(sets) if sets[p[1]][2] == 3}
+    width = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = batch_dedup.classes(batch_dedup.members(batch))
+        looked = batch_dedup.signatures(table, index._frequent(), "last", True)
+        plan = batch_dedup.candidate_pairs(index.table("blocks"), looked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", width)
+    join = plan[plan.index("SortMergeJoin") :]
+    assert join.count("Exchange hashpartitioning(key") == 1  # the batch only
+    assert "Bucketed: true" in join
+
+
+def test_full_buckets_and_classes_are_dealt(spark):
+    sets = _sets(10, 120) + [("a", 1000 + i, i % 3, ["p", "q", "r", "s"]) for i in range(30)]
+    index_sets = batch_dedup.members(_frame(spark, sets)).cache()
+    links, index = batch_dedup.deliver(index_sets)
+    own = index.table("members")
+    got = batch_dedup.expand(links, own, own.where("batch > 0"), heavy_share=0.01)
+    assert {(x.obj_a, x.obj_b) for x in got.collect()} == _truth(sets)
+    table = batch_dedup.classes(index_sets)
+    assert index.links(table, heavy_share=0.001).select("a2", "b2").distinct().count() == index.links(table).select("a2", "b2").distinct().count()
+
+
+def test_elements_with_one_code_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(batch_dedup.F, "xxhash64", lambda *c: F.abs(F.crc32(F.concat_ws("", *c).cast("binary")) % 7).cast("bigint"))
+    sets = [("a", 1, 0, list("abcdefgh")), ("a", 2, 1, list("ijklmnop")), ("a", 3, 1, list("abcdefgh"))]
+    assert {(x.obj_a, x.obj_b) for x in near_duplicates(_frame(spark, sets)).collect()} == {(1, 3)}
+
+
 def test_sizes_of_similar_sets_share_the_blocks():
     ladder = Ladder(0.7)
     upper = ladder.upper(500)
