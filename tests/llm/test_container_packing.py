@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cairnfold.llm import container_packing
 from cairnfold.llm.container_packing import fill_report, pack, plan
 
 
@@ -34,6 +35,22 @@ def test_plans_are_near_the_bound():
         assert p.containers <= p.bound * 1.01 + 2
 
 
+def test_most_containers_come_from_priced_configurations():
+    r = random.Random(3)
+    for capacity in (512, 2048, 8192):
+        counts = Counter(min(capacity, max(1, int(r.lognormvariate(5.5, 1.3)))) for _ in range(6000))
+        p = _check(dict(counts), capacity)
+        assert p.priced >= 0.9 * p.containers
+
+
+def test_segments_give_the_same_plan(monkeypatch):
+    r = random.Random(4)
+    counts = dict(Counter(r.randrange(1, 700) for _ in range(900)))
+    whole = plan(counts, 1000)
+    monkeypatch.setattr(container_packing, "SEGMENT", 2000)
+    assert plan(counts, 1000) == whole
+
+
 def test_exact_fits():
     assert _check({3: 100, 7: 100}, 10).containers == 100
     assert _check({6: 10}, 10).containers == 10
