@@ -189,8 +189,9 @@ def _row_batch(arrays: list[pa.Array]) -> pa.RecordBatch:
 def _names(el: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A number for each window, the same if and only if the elements are: by sorting pairs of numbers
     of halves, as in the doubling of prefixes."""
-    _, rank = np.unique(el, return_inverse=True)
-    rank, level = rank.astype(np.int64), np.frexp(e - s + 1)[1] - 1
+    own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_ELEMENT.itemsize), len(el), [None, pa.py_buffer(el)])
+    rank = own.dictionary_encode().indices.to_numpy().astype(np.int64)
+    level = np.frexp(e - s + 1)[1] - 1
     left, right = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
     for k in range(int(level.max(initial=-1)) + 1):
         if k:
