@@ -90,7 +90,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return damaged_documents(table(spark, d, "documents"))[0].select("doc_id")
+    return damaged_documents(table(spark, d, "documents")).select("doc_id")
 
 
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
