@@ -173,8 +173,9 @@ def identified(sets: DataFrame) -> DataFrame:
 
 def classes(sets: DataFrame) -> DataFrame:
     """One row for each class of equal sets, with its first and its last batch."""
-    each = sets.groupBy("cid", "cid2").agg(F.min("batch").alias("first"), F.max("batch").alias("last"), F.min("obj").alias("obj"))
-    return each.join(sets.select("cid", "cid2", "scope", "obj", "elements", "codes").distinct(), ["cid", "cid2", "obj"]).drop("obj")
+    own = F.first(F.struct("scope", "elements", "codes")).alias("own")  # the same in all
+    each = sets.groupBy("cid", "cid2").agg(F.min("batch").alias("first"), F.max("batch").alias("last"), own)
+    return each.select("cid", "cid2", "first", "last", "own.*")
 
 
 def frequent_elements(sets: DataFrame, most: int = FREQUENT) -> np.ndarray:
