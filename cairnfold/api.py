@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,6 +69,14 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
 
+    def _of(self, name: str, namespaces: Iterable[str]) -> tuple[DataFrame, list[str]]:
+        """What a table laid out by namespace has of some, and the folders of that."""
+        folders = self.store.folders_of(name, [(n,) for n in set(namespaces)])
+        return self.store.read(name, folders), folders
+
+    def _objects(self, bucket: str) -> DataFrame:
+        return self._of("objects", [bucket.split(".")[0]])[0]
+
     def register_views(self) -> None:
         """The store's tables as temporary views for SQL."""
         for name in ("buckets", "objects", "manifest_entries", "fp_index", "blocks", "refs", "deleted_containers"):
@@ -92,7 +100,7 @@ class Engine:
         own = self.table("buckets")
         if own.where(F.col("name") == name).isEmpty():
             raise StoreError("no_such_bucket", name)
-        if not listing.with_prefix(self.table("objects"), name).isEmpty():
+        if not listing.with_prefix(self._objects(name), name).isEmpty():
             raise StoreError("bucket_not_empty", name)
         self.store.commit(replace={"buckets": cut(own.where(F.col("name") != name))})
 
@@ -171,26 +179,25 @@ class Engine:
             changes["refs"] = refs.add(changes["refs"], added)
             changes["manifest_entries"] = changes["manifest_entries"].unionByName(entries)
             changes["deleted_containers"] = gc.dequeue(changes["deleted_containers"], added)
-            self.store.commit(append=new, replace={k: cut(v) for k, v in changes.items()}, instead={"manifest_entries": folders})
+            self.store.commit(append=new, replace={k: cut(v) for k, v in changes.items()}, instead=folders)
         return self.table("objects").join(rows.select("obj_seq"), "obj_seq", "left_semi")
 
-    def _without(self, named: DataFrame) -> tuple[dict[str, DataFrame], list[str]]:
-        """The tables after the objects ``bucket, object`` are gone, with what they alone referred to queued; of
-        ``manifest_entries`` only the folders of their namespaces, which come along."""
-        objects, own, queue = self.table("objects"), self.table("refs"), self.table("deleted_containers")
+    def _without(self, named: DataFrame) -> tuple[dict[str, DataFrame], dict[str, list[str]]]:
+        """The tables after the objects ``bucket, object`` are gone, with what they alone referred to queued; of objects,
+        references and entries only the folders of the namespaces concerned, which come along."""
+        spaces = [r[0] for r in named.select(naming.namespace_of("bucket").alias("n")).distinct().collect()]
+        (objects, a), (own, b), (entries, c) = (self._of(t, spaces) for t in ("objects", "refs", "manifest_entries"))
         keys = named.select("bucket", F.col("object").alias("name")).distinct()
         gone = objects.join(keys, ["bucket", "name"], "left_semi")
         left = objects.join(keys, ["bucket", "name"], "left_anti")
         # a copied object keeps the manifest
         unused = gone.where("manifest_id is not null").select("manifest_id").distinct().join(left.select("manifest_id"), "manifest_id", "left_anti")
-        folders = self.store.folders_of("manifest_entries", [tuple(r) for r in gone.select("namespace").distinct().collect()])
-        entries = self.store.read("manifest_entries", folders) if folders else self.table("manifest_entries").limit(0)
         return {
             "objects": left,
             "refs": refs.remove(own, named),
             "manifest_entries": entries.join(unused, "manifest_id", "left_anti"),
-            "deleted_containers": gc.enqueue(queue, refs.dereferenced(own, named)),
-        }, folders
+            "deleted_containers": gc.enqueue(self.table("deleted_containers"), refs.dereferenced(own, named)),
+        }, {"objects": a, "refs": b, "manifest_entries": c}
 
     def delete(self, objects: DataFrame) -> DataFrame:
         """Deletes ``bucket, name``; returns them with ``status`` deleted or absent. Deleting what is not there is fine."""
@@ -198,7 +205,7 @@ class Engine:
         there = self.table("objects").select("bucket", "name").distinct().withColumn("_t", F.lit(1))
         out = cut(asked.join(there, ["bucket", "name"], "left").select("bucket", "name", F.when(F.col("_t") == 1, "deleted").otherwise("absent").alias("status")))
         changes, folders = self._without(asked.withColumnRenamed("name", "object"))
-        self.store.commit(replace={k: cut(v) for k, v in changes.items()}, instead={"manifest_entries": folders})
+        self.store.commit(replace={k: cut(v) for k, v in changes.items()}, instead=folders)
         return out
 
     def copy(self, bucket: str, name: str, to_bucket: str, to_name: str) -> None:
@@ -211,15 +218,15 @@ class Engine:
         base = self.table("objects").agg(F.max("obj_seq")).first()[0] or 0
         rows = listing.head(self.table("objects"), bucket, name).withColumn("bucket", F.lit(to_bucket)).withColumn("name", F.lit(to_name))
         rows = cut(rows.withColumn("obj_seq", F.lit(base + 1).cast("bigint")).withColumn("written_bytes", F.lit(0).cast("bigint")).withColumn("stored_bytes", F.lit(0).cast("bigint")))
-        changes, _ = self._without(rows.select("bucket", F.col("name").alias("object")))
+        changes, folders = self._without(rows.select("bucket", F.col("name").alias("object")))
         entries = self.table("manifest_entries").where(F.col("manifest_id") == row["manifest_id"])
         self.store.commit(replace={
             "objects": cut(changes["objects"].unionByName(rows)), "refs": cut(refs.add(changes["refs"], refs.references(rows, entries))),
             "deleted_containers": cut(changes["deleted_containers"]),
-        })
+        }, instead={k: folders[k] for k in ("objects", "refs")})
 
     def head(self, bucket: str, name: str) -> DataFrame:
-        return listing.head(self.table("objects"), bucket, name)
+        return listing.head(self._objects(bucket), bucket, name)
 
     def tags(self, bucket: str, name: str) -> dict[str, str]:
         """The object's tags, which its user metadata holds under ``tag:``."""
@@ -232,8 +239,9 @@ class Engine:
         none = F.create_map().cast("map<string,string>")
         own = F.map_filter(F.coalesce("user_defined", none), lambda k, _: ~k.startswith("tag:"))
         here = (F.col("bucket") == bucket) & (F.col("name") == name)
-        rows = self.table("objects").withColumn("user_defined", F.when(here, F.map_concat(own, F.coalesce(new, none))).otherwise(F.col("user_defined")))
-        self.store.commit(replace={"objects": cut(rows)})
+        objects, folders = self._of("objects", [bucket.split(".")[0]])
+        rows = objects.withColumn("user_defined", F.when(here, F.map_concat(own, F.coalesce(new, none))).otherwise(F.col("user_defined")))
+        self.store.commit(replace={"objects": cut(rows)}, instead={"objects": folders})
 
     def _one(self, bucket: str, name: str):
         row = self.head(bucket, name).first()
@@ -242,53 +250,89 @@ class Engine:
         return row
 
     def list(self, bucket: str, **how) -> listing.Page:
-        return listing.page(self.table("objects"), bucket, **how)
+        return listing.page(self._objects(bucket), bucket, **how)
 
-    def read(self, asked: DataFrame) -> DataFrame:
-        """Bodies of ``bucket, name`` (and ``start, length``): ``bucket, name, body``. Objects without content have an
-        empty body, those that are not there no row."""
+    def _pieces(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The requests with all columns, and the pieces of each with ``data`` and their place ``at`` in what is read. Only the
+        folders of the containers that the manifests name are opened."""
         for c, v in (("start", 0), ("length", -1)):
             if c not in asked.columns:
                 asked = asked.withColumn(c, F.lit(v).cast("bigint"))
-        own = asked.select("bucket", "name", "start", "length").join(self.table("objects").select("bucket", "name", "manifest_id"), ["bucket", "name"])
-        entries = own.where("manifest_id is not null").join(self.table("manifest_entries"), "manifest_id")
-        plan = reader.range_plan(entries, F.col("start"), F.col("length"), ["bucket", "name"])
-        found = reader.locate(plan, self.table("blocks")).withColumn("raw", codecs.decode("payload", F.col("codec")))
-        data = found.withColumn("data", F.substring(F.col("raw"), (F.col("skip") + 1).cast("int"), F.col("take").cast("int")))
-        bodies = reader.assemble(data, ["bucket", "name"])
-        out = own.select("bucket", "name").join(bodies, ["bucket", "name"], "left")
-        return out.select("bucket", "name", F.coalesce("body", F.lit(b"")).alias("body"))
+        asked = asked.select("bucket", "name", F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length")).distinct()
+        spaces = [r[0] for r in asked.select(naming.namespace_of("bucket").alias("n")).distinct().collect()]
+        own = cut(asked.join(self._of("objects", spaces)[0].select("bucket", "name", "manifest_id"), ["bucket", "name"]))
+        entries = own.where("manifest_id is not null").join(self._of("manifest_entries", spaces)[0], "manifest_id")
+        plan = cut(reader.range_plan(entries, F.col("start"), F.col("length")))
+        shards = [tuple(r) for r in plan.select("namespace", naming.shard_of("dcid").alias("shard")).distinct().collect()]
+        found = reader.locate(plan, self.store.read("blocks", self.store.folders_of("blocks", shards)))
+        raw = codecs.decode("payload", F.col("codec"))
+        found = found.withColumn("raw", raw).withColumn("at", F.col("chunk_offset") + F.col("skip") - F.col("start"))
+        return own, found.withColumn("data", F.substring(F.col("raw"), (F.col("skip") + 1).cast("int"), F.col("take").cast("int")))
 
-    def get(self, bucket: str, name: str, start: int = 0, length: int = -1, if_match: str | None = None) -> bytes:
-        """One object's bytes, on the driver."""
+    def read(self, asked: DataFrame) -> DataFrame:
+        """Bodies of ``bucket, name`` (and ``start, length``): ``bucket, name, start, length, body``. Objects without content
+        have an empty body, those that are not there no row; a repeated request is one."""
+        keys = ["bucket", "name", "start", "length"]
+        own, pieces = self._pieces(asked)
+        out = own.select(*keys).join(reader.assemble(pieces, keys), keys, "left")
+        return out.select(*keys, F.coalesce("body", F.lit(b"")).alias("body"))
+
+    def read_parts(self, asked: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
+        """The same for objects of any size: ``bucket, name, start, length, part, body``, parts of about ``part_bytes`` in
+        order; of an empty object there is none."""
+        return reader.parts(self._pieces(asked)[1], ["bucket", "name", "start", "length"], "at", part_bytes)
+
+    def stream(self, bucket: str, name: str, start: int = 0, length: int = -1, if_match: str | None = None, part_bytes: int = 64 << 20) -> Iterator[bytes]:
+        """One object's bytes in parts, so that the driver never holds more than a few of them."""
         row = self._one(bucket, name)
         if start < 0 or length < -1 or start > row["size"]:
             raise StoreError("invalid_range", f"{start}+{length}")
         if if_match is not None and if_match.strip('"') != row["etag"]:
             raise StoreError("precondition_failed", if_match)
         asked = self.spark.createDataFrame([(bucket, name, start, length)], "bucket string, name string, start bigint, length bigint")
-        return bytes(self.read(asked).first()["body"])
+        return (bytes(r["body"]) for r in cut(self.read_parts(asked, part_bytes)).orderBy("part").toLocalIterator())
+
+    def get(self, bucket: str, name: str, start: int = 0, length: int = -1, if_match: str | None = None) -> bytes:
+        """One object's bytes, on the driver."""
+        return b"".join(self.stream(bucket, name, start, length, if_match))
 
     # collection
 
-    def gc(self) -> dict[str, int]:
-        """One pass over the queue: containers nothing refers to lose their index rows and blocks; only the shards that
-        hold some are rewritten."""
+    def gc(self, at_once: int = 10_000) -> dict[str, int]:
+        """One pass over the queue. Containers that are referred to again leave it; the others lose their index rows and
+        blocks, about ``at_once`` in a commit, of which only the folders concerned are rewritten. A batch that fails
+        stays queued for the next pass while the others go."""
         queue, own = self.table("deleted_containers"), self.table("refs")
-        victims = cut(gc.victims(queue, own))
+        victims = gc.victims(queue, own).withColumn("shard", naming.shard_of("dcid"))
         n = victims.count()
-        if not n:
-            if not queue.isEmpty():
-                self.store.commit(replace={"deleted_containers": cut(queue.limit(0))})
-            return {"swept": 0, "fingerprints": 0}
-        index = self.table("fp_index")
-        left = cut(gc.remove_fingerprints(index, victims))
+        batches = max(1, -(-n // at_once))
+        victims = cut(victims.withColumn("_batch", F.pmod(F.xxhash64("namespace", "shard"), F.lit(batches))))
+        done = {"swept": 0, "fingerprints": 0, "queued": 0}
+        for batch in [r[0] for r in victims.select("_batch").distinct().collect()]:
+            mine = victims.where(F.col("_batch") == batch)
+            try:
+                gone = self._sweep(mine)
+            except Exception:  # noqa: BLE001  whatever it was, the next pass tries again
+                done["queued"] += mine.count()
+            else:
+                done["swept"] += mine.count()
+                done["fingerprints"] += gone
+        kept = cut(gc.dequeue(queue, victims))
+        if not kept.isEmpty():
+            self.store.commit(replace={"deleted_containers": cut(gc.dequeue(self.table("deleted_containers"), kept))})
+        return done
+
+    def _sweep(self, mine: DataFrame) -> int:
+        """Deletes containers in one commit; returns how many index rows went with them."""
+        spaces = [r[0] for r in mine.select("namespace").distinct().collect()]
+        index, a = self._of("fp_index", spaces)
+        left = cut(gc.remove_fingerprints(index, mine))
+        b = self.store.folders_of("blocks", [tuple(r) for r in mine.select("namespace", "shard").distinct().collect()])
+        kept = cut(self.store.read("blocks", b).join(mine.select("namespace", "dcid"), ["namespace", "dcid"], "left_anti"))
+        rest = cut(gc.dequeue(self.table("deleted_containers"), mine))
         gone = index.count() - left.count()
-        shards = [tuple(r) for r in victims.select("namespace", naming.shard_of("dcid").alias("shard")).distinct().collect()]
-        folders = self.store.folders_of("blocks", shards)
-        kept = cut(self.store.read("blocks", folders).join(victims, ["namespace", "dcid"], "left_anti")) if folders else self.table("blocks").limit(0)
-        self.store.commit(replace={"fp_index": left, "blocks": kept, "deleted_containers": cut(queue.limit(0))}, instead={"blocks": folders})
-        return {"swept": n, "fingerprints": gone}
+        self.store.commit(replace={"fp_index": left, "blocks": kept, "deleted_containers": rest}, instead={"fp_index": a, "blocks": b})
+        return gone
 
     # multipart
 
@@ -318,6 +362,23 @@ class Engine:
         self.store.commit(append={"mp_parts": own})
         return own.select("part_no", "etag", "size")
 
+    def list_uploads(self, bucket: str, prefix: str = "") -> DataFrame:
+        """Uploads under way: ``upload_id, name, initiated``, by name and start."""
+        own = self.table("mp_uploads").where((F.col("bucket") == bucket) & F.col("name").startswith(prefix))
+        return own.select("upload_id", "name", "initiated").orderBy("name", "initiated")
+
+    def list_parts(self, upload: str, after: int = 0, limit: int = 1000) -> DataFrame:
+        """A page of an upload's parts beyond number ``after``: ``part_no, etag, size, last_modified``."""
+        self._upload(upload)
+        own = self.table("mp_parts").where((F.col("upload_id") == upload) & (F.col("part_no") > after))
+        return multipart.latest_parts(own).select("part_no", "etag", "size", "last_modified").orderBy("part_no").limit(limit)
+
+    def copy_part(self, upload: str, part_no: int, bucket: str, name: str, start: int = 0, length: int = -1) -> DataFrame:
+        """A part that is a range of an object; read and written by Spark."""
+        self._one(bucket, name)
+        asked = self.spark.createDataFrame([(bucket, name, start, length)], "bucket string, name string, start bigint, length bigint")
+        return self.put_parts(upload, self.read(asked).select(F.lit(part_no).alias("part_no"), "body"))
+
     def complete_upload(self, upload: str, parts: list[tuple[int, str]]) -> DataFrame:
         """Makes the object of ``(part number, ETag)`` in the order given."""
         up = self._upload(upload)
@@ -389,19 +450,27 @@ class Engine:
         if own.isEmpty():
             raise StoreError("no_such_backup", backup_id)
         root = os.path.realpath(target)
-        done = []
-        for r in archive.select(own, paths).orderBy("name").collect():
+        own = cut(archive.select(own, paths))
+        done, at = [], {}
+        for r in own.orderBy("name").toLocalIterator():
             p = os.path.realpath(os.path.join(root, r["name"]))
             if not (p + "/").startswith(root + "/"):
                 raise StoreError("outside_target", r["name"])
-            if r["typeflag"] == archive.FOLDER:
-                os.makedirs(p, exist_ok=True)
-            else:
-                os.makedirs(os.path.dirname(p), exist_ok=True)
-                with open(p, "wb") as f:
-                    f.write(self.get(bucket, backup_id + ".DATA", r["offset"], r["size"]) if r["size"] else b"")
+            os.makedirs(p if r["typeflag"] == archive.FOLDER else os.path.dirname(p), exist_ok=True)
+            if r["typeflag"] != archive.FOLDER:
+                open(p, "wb").close()
                 os.chmod(p, r["mode"])
+                at[r["offset"], r["size"]] = p
             done.append(r["name"])
+        # all files are read by one job and come one after the other
+        files = own.where((F.col("typeflag") != archive.FOLDER) & (F.col("size") > 0))
+        asked = files.select(F.lit(bucket).alias("bucket"), F.lit(backup_id + ".DATA").alias("name"), F.col("offset").alias("start"), F.col("size").alias("length"))
+        for r in cut(self.read_parts(asked)).orderBy("start", "part").toLocalIterator():
+            os.chmod(p := at[r["start"], r["length"]], 0o600)
+            with open(p, "ab") as f:
+                f.write(r["body"])
+        for r in files.toLocalIterator():
+            os.chmod(at[r["offset"], r["size"]], r["mode"])
         return done
 
     def delete_backup(self, bucket: str, backup_id: str) -> None:

@@ -96,10 +96,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
             rate(size)
             print("md5 {} sha256 {}".format(*file_hashes(args.file)))
         case "download":
-            data = e.get(args.bucket, args.object)
             with open(args.file, "wb") as f:
-                f.write(data)
-            rate(len(data))
+                for data in e.stream(args.bucket, args.object):
+                    f.write(data)
+                rate(f.tell())
         case "delete":
             print(e.delete(spark.createDataFrame([(args.bucket, args.object)], "bucket string, name string")).first().status)
         case "head":

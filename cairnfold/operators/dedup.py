@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfold.operators.skew import HEAVY_SHARE, heavy_keys, key_hash, split_join
@@ -96,7 +96,7 @@ def without_equal_etag(incoming: DataFrame, objects: DataFrame) -> DataFrame:
     return incoming.join(there, ["bucket", "name", "etag"], "left_anti")
 
 
-def ranked_first(chunks: DataFrame, scope: str, obj: str) -> DataFrame:
-    """The same rule as a window, one row for each fingerprint of a scope; for small inputs."""
-    w = Window.partitionBy(scope, "fp").orderBy(obj, "ordinal")
-    return chunks.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def compress_rate(written: Column | str, stored: Column | str) -> Column:
+    """Share of the unique bytes that compression saved; 0 where there are none."""
+    w, n = (F.col(c) if isinstance(c, str) else c for c in (written, stored))
+    return F.when(w > 0, (w - n) / w).otherwise(0.0)

@@ -46,3 +46,13 @@ def sweep_report(queue: DataFrame, refs: DataFrame, containers: DataFrame, index
     action = F.when(F.col("_live") == 1, "kept").when(F.col("_there").isNull(), "missing").otherwise("swept")
     gone = F.when(F.col("_live") == 1, 0).otherwise(F.coalesce("_n", F.lit(0))).cast("bigint")
     return out.select(*KEY, action.alias("action"), gone.alias("fingerprints"))
+
+
+def outcome(queue: DataFrame, refs: DataFrame, failing: DataFrame) -> DataFrame:
+    """One row for each queued container: ``namespace, dcid, outcome``. ``kept`` is referred to again and leaves the
+    queue, ``swept`` is deleted, and ``queued`` could not be (``failing``) and is tried again by the next sweep."""
+    own = queue.where("namespace is not null and dcid is not null").select(*KEY).distinct()
+    live = refs.select(*KEY).distinct().withColumn("_live", F.lit(1))
+    fails = failing.select(*KEY).distinct().withColumn("_fails", F.lit(1))
+    what = F.when(F.col("_live") == 1, "kept").when(F.col("_fails") == 1, "queued").otherwise("swept")
+    return own.join(live, KEY, "left").join(fails, KEY, "left").select(*KEY, what.alias("outcome"))

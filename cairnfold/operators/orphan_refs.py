@@ -67,8 +67,8 @@ def referenced_state(
     )
 
 
-#: Up to so many suspect keys, of some 60 bytes each, are broadcast to the rows; beyond, rows are shuffled.
-BROADCAST_KEYS = 200_000
+#: Bytes of suspect keys that are broadcast to the rows; beyond, rows are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def _verdict() -> Column:
@@ -100,7 +100,7 @@ def orphan_references(
     targets: DataFrame,
     deleted: DataFrame,
     heavy_share: float = HEAVY_SHARE,
-    broadcast_keys: int = BROADCAST_KEYS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows ``tbl, ref_key, dcid, period, reason``, one for each distinct reference that does not resolve.
 
@@ -110,17 +110,18 @@ def orphan_references(
     A repeated row counts once; with an empty target table every reference is missing.
     """
     refs, _, failed = _judged(references, targets, deleted, heavy_share)
-    return _rows(refs, failed, heavy_share, broadcast_keys)
+    return _rows(refs, failed, heavy_share, broadcast_bytes)
 
 
-def _rows(refs: DataFrame, failed: DataFrame, heavy_share: float, broadcast_keys: int) -> DataFrame:
-    """The references themselves: the keys and periods that failed are broadcast if their counted number allows it,
+def _rows(refs: DataFrame, failed: DataFrame, heavy_share: float, broadcast_bytes: int) -> DataFrame:
+    """The references themselves: the keys and periods that failed are broadcast if their bytes allow it,
     else only those of heavy keys, while the rows of all others are shuffled."""
     on = ["tbl", "_scope", "_ref", "_month"]
     # a null scope or period must meet its own kind again
     again = {"_scope": F.coalesce("_scope", F.lit("")), "_month": F.coalesce("period", F.lit(""))}
     refs, known = refs.withColumns(again), failed.withColumns(again).drop("_n", "period")
-    if failed.count() <= broadcast_keys:
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("tbl", "_scope", "period")), F.lit(96))
+    if (failed.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes:
         joined = refs.join(F.broadcast(known), ["_key", *on])
     else:
         total = failed.agg(F.sum("_n")).first()[0]
@@ -138,7 +139,7 @@ def orphan_report(
     targets: DataFrame,
     deleted: DataFrame,
     heavy_share: float = HEAVY_SHARE,
-    broadcast_keys: int = BROADCAST_KEYS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Counts ``tbl, period, refs, missing, deleted, later, orphans``: ``refs`` are references as
     delivered, repeated rows included, the others distinct references. Periods without a reference have
@@ -147,7 +148,7 @@ def orphan_report(
     whole = counts.groupBy("tbl", "period").agg(F.sum("_n").alias("refs"))
     n = lambda what: F.count(F.when(F.col("reason") == what, 1)).alias(what)
     found = (
-        _rows(refs, failed, heavy_share, broadcast_keys)
+        _rows(refs, failed, heavy_share, broadcast_bytes)
         .groupBy("tbl", "period")
         .agg(n("missing"), n("deleted"), n("later"), F.count(F.lit(1)).alias("orphans"))
     )

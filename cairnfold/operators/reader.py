@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnfold.functions.naming import shard_of
 from cairnfold.session import cut
 
 
@@ -35,32 +36,46 @@ def range_error(start: Column, length: Column, size: Column, etag: Column | None
     return out
 
 
+def opened(plan: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The containers that a read opens: ``<keys>, namespace, dcid, shard, reads, bytes``, each once for its object. The
+    shards are the folders that hold them."""
+    own = plan.groupBy(*keys, "namespace", "dcid").agg(F.count(F.lit(1)).alias("reads"), F.sum("take").cast("bigint").alias("bytes"))
+    return own.withColumn("shard", shard_of("dcid"))
+
+
 def locate(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     """Entries with the ``offset, stored_len, codec, payload`` of their block."""
     own = blocks.select("namespace", "dcid", "fp", "offset", "stored_len", "codec", "payload")
     return entries.join(own, ["namespace", "dcid", "fp"])
 
 
-def missing_blocks(entries: DataFrame, blocks: DataFrame, broadcast_keys: int = 200_000) -> DataFrame:
+def missing_blocks(entries: DataFrame, blocks: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Entries whose container lacks their fingerprint; empty where the store is sound. Entries are reduced to their
     keys before these meet the blocks, so that a fingerprint of very many entries is looked up once; what is
-    missing goes back to the entries, by a broadcast up to a counted number of keys."""
+    missing goes back to the entries, by a broadcast up to a number of bytes."""
     on = ["namespace", "dcid", "fp"]
     keys = entries.select(*on).distinct()
     missing = cut(keys.join(blocks.select(*on).distinct(), on, "left_anti"))
-    few = missing.count() <= broadcast_keys
+    wide = missing.agg(F.sum(F.lit(48) + F.coalesce(F.octet_length("namespace"), F.lit(0)) + F.coalesce(F.octet_length("fp"), F.lit(0)))).first()[0] or 0
     null = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in on}  # a null key finds itself again
     known = missing.withColumns(null).select(*null)
-    return entries.withColumns(null).join(F.broadcast(known) if few else known, list(null), "left_semi").drop(*null)
+    return entries.withColumns(null).join(F.broadcast(known) if wide <= broadcast_bytes else known, list(null), "left_semi").drop(*null)
 
 
 def assemble(pieces: DataFrame, keys: Sequence[str], ordinal: str = "ordinal", data: str = "data") -> DataFrame:
-    """``keys, body``: pieces of bytes joined in their order. An object must fit one row, as any binary value."""
-    own = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.hex(data).alias("h"))))
-    joined = F.unhex(F.array_join(F.transform(own, lambda x: x["h"]), ""))
+    """``keys, body``: pieces of bytes joined in their order, in the JVM and without another form of them. An object
+    must fit one row, as any binary value; ``parts`` has no such bound."""
+    joined = F.expr(f"listagg(`{data}`) WITHIN GROUP (ORDER BY `{ordinal}`)")
     return pieces.groupBy(*keys).agg(joined.alias("body"))
 
 
+def parts(pieces: DataFrame, keys: Sequence[str], offset: str, part_bytes: int, ordinal: str = "ordinal", data: str = "data") -> DataFrame:
+    """``keys, part, body``: the same for objects of any size, in parts of about ``part_bytes``: each takes the pieces that
+    begin in it, by their ``offset`` in what is read."""
+    own = pieces.withColumn("part", F.floor(F.col(offset) / part_bytes).cast("bigint"))
+    return assemble(own, [*keys, "part"], ordinal, data)
+
+
 def running_offsets(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, name: str) -> DataFrame:
     """Sum of the sizes before each row of a key."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -5,12 +5,14 @@ Documents stand for byte objects: namespace from the language, bucket from the s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfold.functions import codecs, hashing, naming, scalars
 from cairnfold.operators import archive, chunking, dedup, gc, listing, manifest, multipart, packing, reader, refs
-from cairnfold.session import table
+from cairnfold.session import cut, table
 
 WIDTH = 256
 CAPACITY = 4096
@@ -283,8 +285,8 @@ def range_read_plan(spark, d):
 @query(_DOCS.rstrip(",\n ") + " SELECT obj_seq, md5(body[101:600]) AS md5, CAST(octet_length(body[101:600]) AS BIGINT) AS len FROM docs WHERE octet_length(body) > 100")
 def range_read_md5(spark, d):
     plan = reader.range_plan(doc_chunks(spark, d, payload=True), 100, 500, ["obj_seq"])
-    cut = plan.withColumn("data", F.substring(F.col("payload"), (F.col("skip") + 1).cast("int"), F.col("take").cast("int")))
-    return reader.assemble(cut, ["obj_seq"]).select("obj_seq", F.md5("body").alias("md5"), F.length("body").cast("bigint").alias("len"))
+    data = plan.withColumn("data", F.substring(F.col("payload"), (F.col("skip") + 1).cast("int"), F.col("take").cast("int")))
+    return reader.assemble(data, ["obj_seq"]).select("obj_seq", F.md5("body").alias("md5"), F.length("body").cast("bigint").alias("len"))
 
 
 @query(_DOCS.rstrip(",\n ") + " SELECT obj_seq, md5(body) AS md5 FROM docs WHERE octet_length(body) > 0")
@@ -325,8 +327,8 @@ e AS (SELECT upload_id, part_no, o, substr(body, o * 8 + 1, 8) AS piece FROM cut
 SELECT upload_id, row_number() OVER (PARTITION BY upload_id ORDER BY part_no DESC, o) - 1 AS ordinal,
   CAST(sum(length(piece)) OVER (PARTITION BY upload_id ORDER BY part_no DESC, o) - length(piece) AS BIGINT) AS chunk_offset, sha256(piece) AS fp, CAST(length(piece) AS BIGINT) AS len FROM e""")
 def multipart_assembly(spark, d):
-    parts = _parts(spark, d)
-    entries = chunking.fixed_chunks(parts.withColumn("body", F.encode("body", "UTF-8")), "body", ["upload_id", "part_no"], 8)
+    parts = cut(_parts(spark, d))
+    entries = cut(chunking.fixed_chunks(parts.withColumn("body", F.encode("body", "UTF-8")), "body", ["upload_id", "part_no"], 8))
     return multipart.join_manifests(parts.withColumn("position", -F.col("part_no")), entries)
 
 
@@ -551,48 +553,134 @@ def little_endian(spark, d):
     return own.select("dcid", F.hex(scalars.u64_to_bytes("dcid")).alias("little"))
 
 
-@query()
+# Content-defined chunks in SQL, of objects ``o(k, body)``: the hash over the last ten bytes at each place, of which the low
+# ten bits are tested; where a hash that begins at a place is 0 within nine bytes; and a walk from chunk to chunk.
+_PLACES = """ bytes AS (SELECT k, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS h FROM (SELECT k, regexp_extract_all(hex(body), '..') AS l FROM o)),
+gear AS (SELECT printf('%02X', i) AS h, CAST('0x' || right(sha256(unhex(printf('%02X', i))), 3) AS BIGINT) & 1023 AS g FROM range(0, 256) t(i)),
+sums AS (SELECT k, i, g, (g + 2 * lag(g, 1, 0) OVER w + 4 * lag(g, 2, 0) OVER w + 8 * lag(g, 3, 0) OVER w + 16 * lag(g, 4, 0) OVER w + 32 * lag(g, 5, 0) OVER w
+    + 64 * lag(g, 6, 0) OVER w + 128 * lag(g, 7, 0) OVER w + 256 * lag(g, 8, 0) OVER w + 512 * lag(g, 9, 0) OVER w) & 1023 AS sum,
+    list(g) OVER (w ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS nine FROM bytes JOIN gear USING (h) WINDOW w AS (PARTITION BY k ORDER BY i)),
+early AS (SELECT k, i AS f, list_filter(range(0, len(nine)), lambda m: list_sum(list_transform(range(0, m + 1), lambda t: nine[m - t + 1] << t)) & 1023 = 0)[1] AS m FROM sums),
+sized AS (SELECT o.k, octet_length(body) AS n, coalesce(hard, []) AS hard, coalesce(easy, []) AS easy FROM o LEFT JOIN (
+    SELECT k, list(i ORDER BY i) FILTER (sum = 0) AS hard, list(i ORDER BY i) AS easy FROM sums WHERE sum & 63 = 0 GROUP BY k) USING (k) WHERE octet_length(body) > 0),
+"""
+
+
+def _next(p: str) -> str:
+    """Length of the chunk that begins at ``p``, for ``CHUNKER``."""
+    return f"""CASE WHEN n - {p} <= 64 THEN n - {p} ELSE coalesce(CASE WHEN {p} + 64 + m < least(n, {p} + 1024) THEN {p} + 65 + m END,
+    list_filter(hard, lambda x: x >= {p} + 73 AND x < least(n, {p} + 256))[1] + 1,
+    list_filter(easy, lambda x: x >= greatest({p} + 73, least(n, {p} + 256)) AND x < least(n, {p} + 1024))[1] + 1, least(n, {p} + 1024)) - {p} END"""
+
+
+def _content_sql(objects: str) -> str:
+    """Tables up to ``cc(k, ordinal, chunk_offset, len, fp)`` from a query of ``k, body``."""
+    return f"""{_DOCS.replace("WITH docs", "WITH RECURSIVE docs")} o AS ({objects}),{_PLACES} walk AS (
+  SELECT d.k, 0 AS ordinal, CAST(0 AS BIGINT) AS p, {_next("0")} AS len FROM sized d LEFT JOIN early e ON e.k = d.k AND e.f = 64 AND e.m IS NOT NULL
+  UNION ALL SELECT k, ordinal, p, {_next("p")} AS len FROM (SELECT w.k, w.ordinal + 1 AS ordinal, w.p + w.len AS p, n, hard, easy, e.m
+    FROM walk w JOIN sized d ON d.k = w.k LEFT JOIN early e ON e.k = w.k AND e.f = w.p + w.len + 64 AND e.m IS NOT NULL WHERE w.p + w.len < n)),
+cc AS (SELECT k, CAST(ordinal AS INTEGER) AS ordinal, p AS chunk_offset, CAST(len AS BIGINT) AS len, sha256(body[p + 1 : p + len]) AS fp FROM walk JOIN o USING (k))
+"""
+
+
+def _fixed_sql(objects: str, name: str = "fc") -> str:
+    return f""", {name}_o AS ({objects}), {name}_n AS (SELECT k, unnest(range(0, (octet_length(body) + 255) // 256)) AS i, body FROM {name}_o),
+{name} AS (SELECT k, CAST(i AS INTEGER) AS ordinal, i * 256 AS chunk_offset, CAST(octet_length(body[i * 256 + 1 : i * 256 + 256]) AS BIGINT) AS len,
+  sha256(body[i * 256 + 1 : i * 256 + 256]) AS fp FROM {name}_n)
+"""
+
+
+@query(_content_sql("SELECT obj_seq AS k, body FROM docs") + "SELECT k AS obj_seq, ordinal, chunk_offset, len, fp FROM cc")
 def content_chunks(spark, d):
     return chunking.content_chunks(documents(spark, d), "body", ["obj_seq"], CHUNKER)
 
 
-@query()
+@query(_content_sql("SELECT obj_seq AS k, body FROM docs") + f""", f AS (SELECT namespace, len, row_number() OVER (PARTITION BY namespace, fp ORDER BY k, ordinal) AS rn FROM cc JOIN docs ON obj_seq = k)
+SELECT namespace, {_REPORT} FROM f GROUP BY ALL""")
 def content_report(spark, d):
     return dedup.dedup_report(chunking.content_chunks(documents(spark, d), "body", ["namespace", "obj_seq"], CHUNKER), ["namespace"])
 
 
-@query()
+@query(_content_sql("SELECT obj_seq AS k, body FROM docs WHERE bucket NOT LIKE '%mirror'") + _fixed_sql("SELECT obj_seq AS k, body FROM docs WHERE bucket LIKE '%mirror'")
+       + "SELECT k AS obj_seq, ordinal, chunk_offset, len, fp, 'FastCDC' AS method FROM cc UNION ALL SELECT k, ordinal, chunk_offset, len, fp, 'FixedCDC' FROM fc")
 def chunk_by_method(spark, d):
     own = documents(spark, d).withColumn("meta", F.create_map(F.lit(chunking.METHOD_KEY), F.when(F.col("bucket").endswith("mirror"), "fixedcdc").otherwise("FastCDC")))
     return chunking.chunk_by_method(own, "body", ["obj_seq"], "meta", CHUNKER)
 
 
-@query()
+_TWICE = "SELECT obj_seq * 2 AS k, body FROM docs UNION ALL SELECT obj_seq * 2 + 1, encode('abc') || body FROM docs"
+_KEPT = """SELECT '{name}' AS method, count(*) AS chunks, count(*) FILTER (EXISTS (SELECT 1 FROM {t} b WHERE b.k = a.k + 1 AND b.fp = a.fp)) AS kept FROM {t} a WHERE a.k % 2 = 0"""
+
+
+@query(_content_sql(_TWICE) + _fixed_sql(_TWICE) + _KEPT.format(name="content", t="cc") + " UNION ALL " + _KEPT.format(name="fixed", t="fc"))
 def shift_robustness(spark, d):
     """Share of chunks that survive three bytes put in front, for both ways of cutting."""
-    own = documents(spark, d).where(F.length("body") > 1024)
+    own = documents(spark, d)
     moved = own.withColumn("body", F.concat(F.lit(b"abc"), F.col("body")))
     parts = []
-    for name, cut in (("fixed", lambda df: chunking.fixed_chunks(df, "body", ["obj_seq"], WIDTH)), ("content", lambda df: chunking.content_chunks(df, "body", ["obj_seq"], CHUNKER))):
-        a, b = cut(own).select("obj_seq", "fp"), cut(moved).select("obj_seq", "fp").distinct().withColumn("kept", F.lit(1))
+    for name, chunks in (("fixed", lambda df: chunking.fixed_chunks(df, "body", ["obj_seq"], WIDTH)), ("content", lambda df: chunking.content_chunks(df, "body", ["obj_seq"], CHUNKER))):
+        a, b = chunks(own).select("obj_seq", "fp"), chunks(moved).select("obj_seq", "fp").distinct().withColumn("kept", F.lit(1))
         met = a.join(b, ["obj_seq", "fp"], "left")
         parts.append(met.agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("chunks"), F.count("kept").alias("kept")))
     return parts[0].unionByName(parts[1])
 
 
-@query()
-def codec_roundtrip(spark, d):
-    """For each codec and namespace: bytes before and after, and whether all blocks came back."""
+def _through_codecs(spark, d):
     own = doc_chunks(spark, d, payload=True).select("namespace", "payload")
-    parts = None
     for c in codecs.CODECS.values():
-        enc = own.select("namespace", "payload", codecs.encode("payload", c.number).alias("stored"))
-        dec = enc.select("namespace", "payload", "stored", codecs.decode("stored", F.lit(c.number)).alias("back"))
-        out = dec.groupBy("namespace").agg(F.lit(c.name).alias("codec"), F.sum(F.length("payload")).alias("raw"), F.sum(F.length("stored")).alias("stored"), F.min(F.col("back") == F.col("payload")).alias("same"))
-        parts = out if parts is None else parts.unionByName(out)
-    return parts
+        yield c, own.select("namespace", "payload", codecs.encode("payload", c.number).alias("stored"))
+
+
+@query(_CHUNKS + """SELECT namespace, codec, CAST(sum(octet_length(payload)) AS BIGINT) AS raw, true AS same
+FROM chunks0, (VALUES ('none'), ('snappy'), ('zlib')) t(codec) GROUP BY ALL""")
+def codec_roundtrip(spark, d):
+    """For each codec and namespace: bytes, and whether all blocks came back."""
+    parts = []
+    for c, enc in _through_codecs(spark, d):
+        dec = enc.select("namespace", "payload", codecs.decode("stored", F.lit(c.number)).alias("back"))
+        parts.append(dec.groupBy("namespace").agg(F.lit(c.name).alias("codec"), F.sum(F.length("payload")).alias("raw"), F.min(F.col("back") == F.col("payload")).alias("same")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query()
+def codec_sizes(spark, d):
+    """For each codec and namespace: bytes before and after."""
+    parts = [enc.groupBy("namespace").agg(F.lit(c.name).alias("codec"), F.sum(F.length("payload")).alias("raw"), F.sum(F.length("stored")).alias("stored")) for c, enc in _through_codecs(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(_CHUNKS + """, steps AS (SELECT list(list_reduce(range(0, 8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(0, 256) t(i))
+SELECT obj_seq, ordinal, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(payload), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295)) AS crc FROM chunks0, steps""")
 def chunk_crc32(spark, d):
     return doc_chunks(spark, d, payload=True).select("obj_seq", "ordinal", hashing.checksum("payload").alias("crc"))
+
+
+_RATE = "CASE WHEN written_bytes > 0 THEN (written_bytes - stored_bytes) / written_bytes ELSE 0.0 END"
+
+
+@query(f"SELECT DISTINCT obj_seq, {_RATE} AS compress_rate FROM objects WHERE stored_bytes IS NOT NULL")
+def compress_rate(spark, d):
+    own = table(spark, d, "objects").where("stored_bytes is not null")
+    return own.select("obj_seq", dedup.compress_rate("written_bytes", "stored_bytes").alias("compress_rate")).distinct()
+
+
+@query(_ENTRIES + """, n AS (SELECT manifest_id, ordinal, len, namespace, dcid, coalesce(chunk_offset, CAST(sum(len) OVER (PARTITION BY manifest_id ORDER BY ordinal) - len AS BIGINT)) AS off FROM e)
+SELECT manifest_id, namespace, dcid, CAST(floor(dcid / 1024) AS BIGINT) AS shard, count(*) AS reads, CAST(sum(least(off + len, 1300000) - greatest(off, 300000)) AS BIGINT) AS bytes
+FROM n WHERE off + len > 300000 AND off < 1300000 AND dcid IS NOT NULL GROUP BY ALL""")
+def get_pruned(spark, d):
+    """The containers that a range of each object opens, with what is read from each."""
+    plan = reader.range_plan(manifest.with_offsets(entries_of(spark, d)), 300_000, 1_000_000)
+    return reader.opened(plan.where("dcid is not null"), ["manifest_id"])
+
+
+_QUEUE = "q AS (SELECT DISTINCT namespace, dcid FROM deleted_containers WHERE dcid IS NOT NULL AND namespace IS NOT NULL)"
+
+
+@query(_REFS + f""", {_QUEUE} SELECT namespace, dcid, CASE WHEN EXISTS (SELECT 1 FROM refs WHERE refs.namespace = q.namespace AND refs.dcid = q.dcid) THEN 'kept'
+WHEN NOT EXISTS (SELECT 1 FROM containers c WHERE c.namespace = q.namespace AND c.dcid = q.dcid) THEN 'queued' ELSE 'swept' END AS outcome FROM q""")
+def gc_retry(spark, d):
+    """A sweep in which containers that are not registered cannot be deleted: they stay queued, all others go."""
+    queue, there = table(spark, d, "deleted_containers"), table(spark, d, "containers")
+    failing = gc.dequeue(gc.victims(queue, container_refs(spark, d)), there)
+    return gc.outcome(queue, container_refs(spark, d), failing)

@@ -15,4 +15,6 @@ SCHEMAS: dict[str, str] = {
 }
 
 #: Tables that are laid out by namespace and container shard.
-PARTITIONS: dict[str, list[str]] = {"blocks": ["namespace", "shard"], "manifest_entries": ["namespace"], "fp_index": ["namespace"]}
+PARTITIONS: dict[str, list[str]] = {
+    "blocks": ["namespace", "shard"], "manifest_entries": ["namespace"], "fp_index": ["namespace"], "objects": ["namespace"], "refs": ["namespace"],
+}

@@ -23,6 +23,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("a cluster must name a folder that all executors share in spark.checkpoint.dir")
         own = tempfile.mkdtemp(prefix="cairnfold-checkpoint-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)

@@ -1,21 +1,32 @@
 """Tables of a store as Parquet folders under one commit log.
 
-A commit writes its folders first and then replaces one small file that names, for each table, the folders
-that make it up. Readers see the commit before or the one after it, never a part. Appending adds folders;
-a rewrite of some partitions replaces theirs and leaves all others alone.
+A commit writes its folders first and then one small file with the next number that names, for each table, the
+folders that make it up. Readers see the commit before or the one after it, never a part. The file gets its name by
+a step that fails where the name is taken, so that of two writers one fails and nothing is lost. Appending adds
+folders; a rewrite of some partitions replaces theirs and leaves all others alone; ``compact`` joins folders again.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from cairnfold.schemas import PARTITIONS, SCHEMAS
 
 
+#: Commit files that stay, for readers that are at work.
+KEPT_COMMITS = 100
+
+
+class ConflictError(RuntimeError):
+    """Another writer has committed meanwhile."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -37,22 +48,41 @@ class Store:
         finally:
             stream.close()
 
+    def _numbers(self) -> list[int]:
+        p = self._path(f"{self.root}/_commits")
+        if not self._fs.exists(p):
+            return []
+        return sorted(int(x.getPath().getName()[:-5]) for x in self._fs.listStatus(p) if x.getPath().getName().endswith(".json"))
+
     def state(self) -> dict:
-        text = self._read(f"{self.root}/_current.json")
-        return json.loads(text) if text else {"commit": 0, "tables": {}}
+        numbers = self._numbers()
+        return json.loads(self._read(self._commit_file(numbers[-1]))) if numbers else {"commit": 0, "tables": {}}
+
+    def _commit_file(self, n: int) -> str:
+        return f"{self.root}/_commits/{n:012d}.json"
 
-    def _point(self, state: dict) -> None:
-        temp, final = self._path(f"{self.root}/_next-{uuid.uuid4().hex}"), self._path(f"{self.root}/_current.json")
+    def _publish(self, state: dict) -> None:
+        """Names the commit's file; fails if another writer has published this number. Local disks link the whole file
+        to its name, others rename it without overwriting, which file systems with a name node do in one step."""
+        temp, final = self._path(f"{self.root}/_commits/_{uuid.uuid4().hex}"), self._path(self._commit_file(state["commit"]))
         out = self._fs.create(temp, True)
         try:
             out.write(bytearray(json.dumps(state).encode()))
         finally:
             out.close()
-        jvm = self._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(temp, final, options)
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                os.link(temp.toUri().getPath(), final.toUri().getPath())
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+                context.rename(temp, final, self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except (FileExistsError, Py4JJavaError) as e:
+            if isinstance(e, FileExistsError) or "AlreadyExists" in str(e):
+                raise ConflictError(f"another writer has made commit {state['commit']}") from None
+            raise
+        finally:
+            self._fs.delete(temp, False)
+        self._fs.delete(self._path(self._commit_file(state["commit"] - KEPT_COMMITS)), False)
 
     # tables
 
@@ -82,7 +112,7 @@ class Store:
     def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, instead: dict[str, list[str]] | None = None) -> int:
         """Adds rows, or replaces tables, or (``instead``) some folders of a replaced table, in one step.
 
-        There must be one writer at a time; of two, the later one to point loses nothing but fails here.
+        Of two writers at once the later one to publish fails with ``ConflictError`` and may try again.
         """
         state = self.state()
         n = state["commit"] + 1
@@ -100,7 +130,33 @@ class Store:
                     gone = set((instead or {}).get(name, old))
                     old = [f for f in old if f not in gone]
                 tables[name] = old + leaves
-        if self.state()["commit"] != state["commit"]:
-            raise RuntimeError("another writer has committed meanwhile")
-        self._point({"commit": n, "tables": tables})
+        self._publish({"commit": n, "tables": tables})
         return n
+
+    def compact(self, name: str, least: int = 8) -> int:
+        """Joins the folders of each partition that has at least ``least`` of them; returns how many folders went."""
+        folders: dict[str, list[str]] = {}
+        for f in self.state()["tables"].get(name, []):
+            folders.setdefault(f.partition("/")[2], []).append(f)
+        many = [f for own in folders.values() if len(own) >= least for f in own]
+        if not many:
+            return 0
+        parts = PARTITIONS.get(name, [])
+        df = self.read(name, many)
+        self.commit(replace={name: df.repartition(*parts) if parts else df}, instead={name: many})
+        return len(many)
+
+    def vacuum(self) -> int:
+        """Deletes folders of tables that the last commit does not name; to be called when no one reads an older one and
+        no one writes. Returns their number."""
+        tables, gone = self.state()["tables"], 0
+        for name in SCHEMAS:
+            base = self._path(f"{self.root}/{name}")
+            if not self._fs.exists(base):
+                continue
+            live = {f.split("/")[0] for f in tables.get(name, [])}
+            for x in self._fs.listStatus(base):
+                if x.isDirectory() and x.getPath().getName() not in live:
+                    self._fs.delete(x.getPath(), True)
+                    gone += 1
+        return gone

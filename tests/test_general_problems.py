@@ -45,8 +45,8 @@ def _truth(refs, targets, gone):
     return out
 
 
-@pytest.mark.parametrize("broadcast_keys", [0, 1000])
-def test_orphans(spark, broadcast_keys):
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_orphans(spark, broadcast_bytes):
     r = random.Random(1)
     day = lambda: T0 + timedelta(hours=r.randrange(96))
     refs = [(r.choice("abc"), str(i), r.randrange(30), day()) for i in range(600)] + [("a", f"hot{i}", 99, day()) for i in range(400)]
@@ -56,10 +56,10 @@ def test_orphans(spark, broadcast_keys):
     gone = [("a", 2), ("b", 4), ("b", 4), ("z", 1), (None, 3)]
     ref, tgt, out = _tables(spark, refs, targets, gone)
     spec = {"t": Reference(ref, "namespace", "dcid", "at", F.col("id"))}
-    got = orphan_references(spec, tgt, out, broadcast_keys=broadcast_keys)
+    got = orphan_references(spec, tgt, out, broadcast_bytes=broadcast_bytes)
     truth = _truth(refs, targets, gone)
     assert {tuple(x) for x in got.collect()} == truth
-    report = orphan_report(spec, tgt, out, broadcast_keys=broadcast_keys).collect()
+    report = orphan_report(spec, tgt, out, broadcast_bytes=broadcast_bytes).collect()
     assert sum(x.orphans for x in report) == len(truth)
     assert sum(x.refs for x in report) == sum(1 for x in refs if x[2] is not None)
     assert sum(x.missing for x in report) == sum(1 for x in truth if x[4] == "missing")

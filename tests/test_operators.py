@@ -158,11 +158,11 @@ def test_references_and_collection(spark):
     assert got == {100: ("kept", 0), 200: ("swept", 1), 400: ("missing", 0)}
 
 
-@pytest.mark.parametrize("broadcast_keys", [0, 100])
-def test_missing_blocks(spark, broadcast_keys):
+@pytest.mark.parametrize("broadcast_bytes", [0, 10_000])
+def test_missing_blocks(spark, broadcast_bytes):
     entries = spark.createDataFrame([("a", 1, "f", "m1"), ("a", 1, "f", "m2"), ("a", 1, "g", "m1"), ("a", None, "f", "m3"), (None, 1, "f", "m4")], "namespace string, dcid long, fp string, manifest_id string")
     blocks = spark.createDataFrame([("a", 1, "f"), ("a", 2, "g"), (None, 1, "f")], "namespace string, dcid long, fp string")
-    got = reader.missing_blocks(entries, blocks, broadcast_keys)
+    got = reader.missing_blocks(entries, blocks, broadcast_bytes)
     assert got.columns == entries.columns
     assert sorted(x.manifest_id for x in got.collect()) == ["m1", "m3", "m4"]
 
