@@ -76,17 +76,17 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(placed, limits, plans)
 
 
-def _mix(spark: SparkSession, d: str):
-    sizes = token_sizes(table(spark, d, "documents"), "text", ["doc_id", "source"])
-    return mix(sizes, table(spark, d, "mix_targets"))
+def _document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return token_sizes(table(spark, d, "documents"), "text", ["doc_id", "source"])
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[0]
+    return mix(_document_sizes(spark, d), table(spark, d, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return share_report(*_mix(spark, d))
+    sizes = cut(_document_sizes(spark, d))
+    return share_report(*mix(sizes, table(spark, d, "mix_targets")), sizes)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -57,10 +57,9 @@ def shares(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> li
     )
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    there = {
-        r["source"]: (r["n"], r["docs"])
-        for r in sizes.where(F.col("source").isin([r["source"] for r in rows])).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
-    }
+    asked = sizes.sparkSession.createDataFrame([(r["source"],) for r in rows], "source string")
+    sums = sizes.join(F.broadcast(asked), "source").groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
+    there = {r["source"]: (r["n"], r["docs"]) for r in sums.collect()}
     whole = [(r["source"], r["t"], max(0, r["r"] if r["r"] is not None else 1), *there.get(r["source"], (0, 0))) for r in rows]
     usable = [x for x in whole if x[2] * x[3] > 0]
     reach = sum(x[1] for x in usable)
@@ -88,7 +87,8 @@ def mix(
     plan = shares(own, targets, total)
     use = {s.source: s for s in plan if s.expected > 0}
     groups = max(1, -(-max((s.documents for s in use.values()), default=0) // group))
-    wanted = own.where(F.col("source").isin(list(use)))
+    rates = sizes.sparkSession.createDataFrame([(s.source, float(s.expected), offset(s.source, seed)) for s in use.values()], "source string, _each double, _offset double")
+    wanted = own.join(F.broadcast(rates), "source")
     dealt = wanted.withColumn("_class", F.floor(F.log2("n_tokens") * CLASSES).cast("int")).withColumn(
         "_g", F.pmod(F.xxhash64(item), F.lit(groups)).cast("int")
     )
@@ -96,11 +96,7 @@ def mix(
     before = Window.partitionBy("source").orderBy("_class", "_g").rowsBetween(Window.unboundedPreceding, -1)
     start = dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     ranked = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(*bucket).orderBy("n_tokens", item))).join(start.drop("_c"), bucket)
-    if use:
-        values = lambda what: F.element_at(F.create_map(*[F.lit(v) for s in use.values() for v in (s.source, float(what(s)))]), F.col("source"))
-        each, u = values(lambda s: s.expected), values(lambda s: offset(s.source, seed))
-    else:
-        each = u = F.lit(0.0)
+    each, u = F.col("_each"), F.col("_offset")
     rank = F.col("_before") + F.col("_nth")
     # a cap that is a whole number of copies needs no rounding, which might cross one integer too many
     copies = F.when(each == F.floor(each), F.floor(each)).otherwise(F.floor(each * rank + u) - F.floor(each * (rank - 1) + u))
@@ -108,13 +104,20 @@ def mix(
     return chosen, plan
 
 
-def share_report(chosen: DataFrame, plan: list[Share]) -> DataFrame:
+def share_report(chosen: DataFrame, plan: list[Share], sizes: DataFrame | None = None) -> DataFrame:
     """For each source with a target: ``source, target_share, max_repeats, available_tokens, available_documents,
     expected_copies, documents, most_repeats, tokens, reached_share``; the last of all tokens chosen (0 if there
-    are none)."""
+    are none). With ``sizes`` also each source that has documents but no target, which is null for it, as is the
+    source for documents without one."""
     spark = chosen.sparkSession
     schema = "source string, target_share double, max_repeats bigint, available_tokens bigint, available_documents bigint, expected_copies double"
     asked = spark.createDataFrame([(s.source, s.target, s.cap, s.available, s.documents, s.expected) for s in plan], schema)
+    if sizes is not None:
+        own = sizes.select(*[c for c in sizes.columns if c != "source"], normal(F.col("source")).alias("source")).distinct()
+        there = own.groupBy("source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("bigint").alias("available_tokens"), F.count(F.lit(1)).alias("available_documents"))
+        more = there.join(F.broadcast(asked.select("source")), "source", "left_anti")
+        none = [F.lit(None).cast(k).alias(c) for c, k in (("target_share", "double"), ("max_repeats", "bigint"))]
+        asked = asked.unionByName(more.select("source", *none, "available_tokens", "available_documents", F.lit(0.0).alias("expected_copies")))
     sums = chosen.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens")
     )

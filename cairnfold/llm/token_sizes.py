@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -16,11 +18,12 @@ _loaded: dict[tuple[str, str], object] = {}
 
 
 def encoding(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
-    """The tokenizer of a rank file, loaded once in a process."""
+    """The tokenizer of a rank file, loaded once in a process. On an executor it is the file sent along."""
     if (vocabulary, pattern) not in _loaded:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        sent = SparkFiles.get(os.path.basename(vocabulary)) if SparkFiles._is_running_on_worker else vocabulary
+        with open(sent if os.path.exists(sent) else vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         _loaded[vocabulary, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _loaded[vocabulary, pattern]
@@ -31,6 +34,7 @@ def token_sizes(docs: DataFrame, text: str, keep: list[str], vocabulary: str = V
     special tokens are ordinary text. A column of ``keep`` must not be called n_tokens."""
     if "n_tokens" in keep:
         raise ValueError("n_tokens is the name of the result")
+    docs.sparkSession.sparkContext.addFile(vocabulary)
     cols = [*keep, text] if text not in keep else keep
     at = len(keep) if text not in keep else keep.index(text)
 

@@ -65,3 +65,14 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert _mix(spark, docs, [])[0] == []
     assert _mix(spark, [], [("a", 1.0, 2)])[0] == []
     assert _mix(spark, docs, [("a", 1.0, 0)])[0] == []
+
+
+def test_sources_without_a_target_are_reported(spark):
+    docs = [*_docs(5, {"a": 30, "b": 20, "c": 10}), (-1, None, 50)]
+    df = spark.createDataFrame([(*x, 5, 6) for x in docs + docs[:5]], SIZES)
+    t = spark.createDataFrame([("a", 1.0, 1), ("b", None, 2)], TARGETS)
+    rows = {x.source: x for x in share_report(*mix(df, t), df).collect()}
+    assert set(rows) == {"a", "b", "c", None}
+    assert rows["a"].tokens == rows["a"].available_tokens
+    assert rows[None].available_documents == 1 and rows["c"].available_documents == 10
+    assert all(rows[s].target_share is None and rows[s].tokens == 0 for s in ("b", "c", None))
