@@ -81,7 +81,7 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
         own = m.group()
         if not own.isalpha() and len(_ODD.findall(own)) >= 2:
             yield m.span()
-    for pattern in (_SWAPPED, _NULLED):
+    for pattern in (_SWAPPED, _NULLED) if "\0" in text else (_SWAPPED,):
         for m in pattern.finditer(text):
             yield m.span()
     last = 0
@@ -664,8 +664,8 @@ def fit(types: DataFrame, top_words: int = TOP_WORDS) -> tuple[Model, DataFrame]
     letters = _letters_of(clean)
     top = clean.where("length(stretch) > 1").orderBy(F.col("n").desc(), "stretch").limit(top_words).collect()
     model = Model({r["stretch"]: r["n"] for r in top} | letters["alone"], letters)
-    more = asked.unionByName(_asking(types, model))
-    return model, _answered(types, more, clean)
+    more = cut(_asking(types, model))
+    return model, _answered(types, asked.unionByName(more), clean)
 
 
 def _met(pairs: DataFrame, types: DataFrame, judged: DataFrame, broadcast_bytes: int) -> DataFrame:
