@@ -280,7 +280,10 @@ def _solve(table: pa.Table) -> pa.Table:
 
 def solve(items: DataFrame) -> dict[int, Plan]:
     """Plans for each limit from the histogram of ``limit_id, capacity, size``, each in a task of its own."""
-    counts = items.groupBy(F.col("limit_id").cast("bigint").alias("limit_id"), "capacity", "size").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(items.groupBy(F.col("limit_id").cast("bigint").alias("limit_id"), "capacity", "size").agg(F.count(F.lit(1)).alias("n")))
+    # a number of partitions that is given is kept, so that no task gets all limits
+    tasks = 4 * max(1, counts.select("limit_id").distinct().count())
+    counts = counts.repartition(tasks, "limit_id")
     plans: dict[int, Plan] = {}
     for r in sorted(counts.groupBy("limit_id", "capacity").applyInArrow(_solve, _PLAN).collect(), key=lambda r: (r["limit_id"], r["nth"])):
         own = plans.setdefault(r["limit_id"], Plan(r["capacity"], [], r["bound"], r["priced"]))
