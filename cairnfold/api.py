@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from cairnfold.functions import codecs, naming
 from cairnfold.operators import archive, chunking, dedup, gc, listing, multipart, packing, reader, refs
 from cairnfold.session import cut
+from cairnfold.sources import container_file
 from cairnfold.sources.store import Store
 
 
@@ -334,6 +335,10 @@ class Engine:
         self.store.commit(replace={"fp_index": left, "blocks": kept, "deleted_containers": rest}, instead={"fp_index": a, "blocks": b})
         return gone
 
+    def export_containers(self, root: str) -> DataFrame:
+        """Writes all containers as files under ``root``, which may be on any file system, and returns what was written."""
+        return cut(container_file.export_containers(self.table("blocks"), root))
+
     # multipart
 
     def start_upload(self, bucket: str, name: str, user_defined: dict[str, str] | None = None) -> str:

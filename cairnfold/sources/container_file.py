@@ -2,7 +2,8 @@
 
 A container file is the magic number and version (two little-endian 32-bit numbers), the blocks' bytes, a
 footer of records and the footer's position in the last eight bytes. The footer here is one fixed record for
-each block: fingerprint (32 bytes), offset and length (64 bits), CRC (32 bits) and codec (one byte).
+each block: fingerprint (32 bytes), offset and length (64 bits), CRC (32 bits) and codec (one byte). A path is a
+local one or an address (``scheme://``) of any file system that Arrow knows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed values of the format.
@@ -24,13 +28,28 @@ class ContainerError(ValueError):
     pass
 
 
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path within it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def _writing(path: str) -> pa.NativeFile:
+    system, own = _at(path)
+    system.create_dir(own.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(own)
+
+
+def _reading(path: str) -> pa.NativeFile:
+    system, own = _at(path)
+    return system.open_input_file(own)
+
+
 def write_container(path: str, blocks: list[tuple[str, bytes, int]]) -> int:
     """Writes ``(fingerprint, stored bytes, codec)``; without blocks no file. Returns the file's size."""
     if not blocks:
         return 0
-    os.makedirs(os.path.dirname(path), exist_ok=True)
     records, offset = [], HEADER
-    with open(path, "wb") as f:
+    with _writing(path) as f:
         f.write(struct.pack("<II", MAGIC, VERSION))
         for fp, data, codec in blocks:
             f.write(data)
@@ -43,10 +62,10 @@ def write_container(path: str, blocks: list[tuple[str, bytes, int]]) -> int:
 
 def read_footer(path: str) -> list[tuple[str, int, int, int, int]]:
     """``fp, offset, stored_len, crc, codec`` of each block."""
-    size = os.path.getsize(path)
-    if size < 16:
-        raise ContainerError("too small")
-    with open(path, "rb") as f:
+    with _reading(path) as f:
+        size = f.size()
+        if size < 16:
+            raise ContainerError("too small")
         magic, version = struct.unpack("<II", f.read(8))
         if magic != MAGIC:
             raise ContainerError("not a container")
@@ -64,7 +83,7 @@ def read_footer(path: str) -> list[tuple[str, int, int, int, int]]:
 def write_manifest(path: str, entries: list[tuple[str, int, int]]) -> list[int]:
     """Writes ``(fingerprint, length, dcid)`` and the section of distinct container ids; returns these, sorted."""
     unique = sorted({d for _, _, d in entries})
-    with open(path, "wb") as f:
+    with _writing(path) as f:
         f.write(struct.pack("<Q", _ENTRY.size * len(entries)))
         for fp, n, dcid in entries:
             f.write(_ENTRY.pack(bytes.fromhex(fp), n, dcid))
@@ -73,14 +92,14 @@ def write_manifest(path: str, entries: list[tuple[str, int, int]]) -> list[int]:
 
 
 def read_manifest(path: str) -> list[tuple[str, int, int]]:
-    with open(path, "rb") as f:
+    with _reading(path) as f:
         (n,) = struct.unpack("<Q", f.read(8))
         return [(fp.hex(), size, dcid) for fp, size, dcid in _ENTRY.iter_unpack(f.read(n))]
 
 
 def read_manifest_containers(path: str) -> list[int]:
     """The distinct container ids, without reading the entries."""
-    with open(path, "rb") as f:
+    with _reading(path) as f:
         (n,) = struct.unpack("<Q", f.read(8))
         f.seek(8 + n)
         data = f.read()
@@ -98,14 +117,17 @@ class _Reader(DataSourceReader):
         self.root = root
 
     def partitions(self) -> list[InputPartition]:
-        found = [os.path.join(d, f) for d, _, files in os.walk(self.root) for f in files if f.startswith("DC") and f[2:].isdigit()]
-        return [_File(p) for p in sorted(found)] or [_File("")]
+        system, root = _at(self.root)
+        found = system.get_file_info(fs.FileSelector(root, recursive=True))
+        found = [x.path for x in found if x.is_file and x.base_name.startswith("DC") and x.base_name[2:].isdigit()]
+        scheme = self.root.partition("://")[0] + "://" if "://" in self.root and not self.root.startswith("file:") else ""
+        return [_File(scheme + p) for p in sorted(found)] or [_File("")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         path = partition.path
         if not path:
             return
-        with open(path, "rb") as f:
+        with _reading(path) as f:
             for fp, offset, n, crc, codec in read_footer(path):
                 f.seek(offset)
                 data = f.read(n)
@@ -127,3 +149,21 @@ class ContainerSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
+
+
+def _export(root: str):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        namespace, shard, dcid = (k.as_py() for k in key)
+        rows = sorted((r["offset"], r["fp"], r["payload"], r["codec"]) for b in batches for r in b.select(["offset", "fp", "payload", "codec"]).to_pylist())
+        path = f"{root.rstrip('/')}/{namespace}/{shard}/DC{dcid}"
+        size = write_container(path, [(fp, data, codec) for _, fp, data, codec in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([namespace]), pa.array([dcid], pa.int64()), pa.array([path]), pa.array([size], pa.int64())], names=["namespace", "dcid", "path", "size"])
+
+    return run
+
+
+def export_containers(blocks: DataFrame, root: str) -> DataFrame:
+    """Writes a file for each container of ``blocks`` (as the store has them), by the executors, under
+    ``root/<namespace>/<shard>``; returns ``namespace, dcid, path, size`` when it is run. A container, which has a bounded
+    size, is written by one task."""
+    return blocks.groupBy("namespace", "shard", "dcid").applyInArrow(_export(root), "namespace string, dcid bigint, path string, size bigint")

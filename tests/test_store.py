@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnfold.api import Engine, Settings
 from cairnfold.operators import chunking, reader
 from cairnfold.operators.skew import salted_join
+from cairnfold.sources.container_file import ContainerSource
 from cairnfold.sources.store import ConflictError, Store
 
 BUCKETS = "name STRING, namespace STRING, uuid STRING, created TIMESTAMP, location STRING"
@@ -117,6 +118,16 @@ def test_a_read_opens_only_the_folders_of_its_containers(spark, engine):
     assert files and all("namespace=team" in f for f in files)
 
 
+def test_containers_go_out_as_files(spark, engine, tmp_path):
+    _put(engine, [(f"o{i}", bytes([i]) * 3000) for i in range(3)])
+    root = "file://" + str(tmp_path / "out")
+    written = engine.export_containers(root).collect()
+    assert len(written) == engine.table("blocks").select("dcid").distinct().count()
+    spark.dataSource.register(ContainerSource)
+    got = {(r["dcid"], r["fp"], bytes(r["payload"])) for r in spark.read.format("container").load(root).collect()}
+    assert got == {(r["dcid"], r["fp"], bytes(r["payload"])) for r in engine.table("blocks").collect()}
+
+
 def test_assemble_in_order(spark):
     rows = [(k, i, bytes([k, i % 256, 0, 255])) for k in (1, 2) for i in range(300)]
     df = spark.createDataFrame([(k, i, bytearray(b)) for k, i, b in rows[::-1]], "k int, ordinal int, data binary")
